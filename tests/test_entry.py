@@ -1,4 +1,8 @@
+from pathlib import Path
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,8 +21,6 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", [n for n in sorted(entry.oracle_sql()) if not n[1].isdigit()])
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
-    from pathlib import Path
-
     for p in Path(SF).glob("*.parquet"):
         db.execute(f"create view {p.stem} as select * from '{p}'")
     got, want = entry.queries()[name](spark, SF).toPandas(), db.execute(entry.oracle_sql()[name]).df()
@@ -26,7 +28,7 @@ def test_query_agrees_with_sql(spark, name):
     columns = sorted(got.columns)
 
     def rows(df):
-        text = lambda v: "" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        text = lambda v: "" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
         return sorted(tuple(text(v) for v in r) for r in df[columns].itertuples(index=False))
 
     assert rows(got) == rows(want)

@@ -31,7 +31,7 @@ def _value(kind: str, column: str | None, t: T.DataType | None, locale: bool) ->
     if kind == "count":
         return F.count(c)
     if kind == "sum":
-        whole = isinstance(t, T.IntegralType)
+        whole = isinstance(t, (T.IntegralType, T.DecimalType))
         return F.coalesce(F.sum(_number(kind, column, t)), F.lit(0 if whole else 0.0))
     if kind == "avg":
         return F.avg(_number(kind, column, t))
@@ -84,9 +84,10 @@ def group_by(t: Table, spec: GroupBy, locale: bool = False) -> Table:
         out.append(_aggregate(a, types, t._order, locale).alias(a.alias))
     keys = [F.col(quoted(c)) for c in spec.columns]
     firsts = [(c.alias(f"__f{i}"), f"__f{i}", d) for i, (c, d) in enumerate(_first_row(t._order))]
-    if not out and not firsts:
-        return Table(t._df.select(*keys).distinct(), list(spec.columns), [])
-    df = t._df.groupBy(*keys).agg(*out, *(c for c, _, _ in firsts))
+    df = t._df.groupBy(*keys).agg(*out, *(c for c, _, _ in firsts)) if out or firsts else t._df.select(*keys).distinct()
+    for a in spec.aggs:
+        if a.kind == "customPandas":
+            df = df.withColumn(a.alias, _over_lists(*a.extra)(F.col(a.alias)))
     return Table._ordered(df, [*spec.columns, *(a.alias for a in spec.aggs)], [(F.col(n), d) for _, n, d in firsts])
 
 
@@ -97,21 +98,19 @@ def _aggregate(a: Agg, types: dict[str, T.DataType], order: list[tuple[str, bool
         return a.extra(_in_order(a.column, order))
     if a.kind == "custom":
         return a.extra(F.col(quoted(a.column)))
-    if a.kind == "customPandas":
-        of, returns = a.extra
-        if any(d for _, d in order):
-            raise TableError("custom_pandas needs a table in source order")
-        return _grouped_udf(of, returns)(F.col(quoted(a.column)))
+    if a.kind == "customPandas":  # the list of values; group_by() applies the function
+        return _in_order(a.column, order)
     return _value(a.kind, a.column, types.get(a.column), locale)
 
 
-def _grouped_udf(of, returns: str):
+def _over_lists(of, returns: str):
+    """A pandas UDF that applies `of` to each array of a column, as a Series."""
     import pandas as pd
 
-    def run(v: pd.Series) -> float:
-        return of(v)
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([of(pd.Series(x)) for x in lists])
 
-    run.__annotations__ = {"v": pd.Series, "return": float}
+    run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, returns)
 
 
@@ -186,7 +185,7 @@ def _function(df: DataFrame, f: WindowFunction, w, base, spec: Window, locale: b
     if f.kind in ("max", "min") and locale and isinstance(t, T.StringType):
         raise TableError("locale order is not available over frames")
     if f.kind == "sum":
-        whole = isinstance(t, T.IntegralType)
+        whole = isinstance(t, (T.IntegralType, T.DecimalType))
         return F.coalesce(F.sum(_number("sum", f.column, t)).over(framed), F.lit(0 if whole else 0.0))
     return _value(f.kind, f.column, t, False).over(framed)
 

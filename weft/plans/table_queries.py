@@ -466,18 +466,18 @@ def merge_last_wins(customer):
 
 @query("""
 with v as (
-  select n_name, c_custkey, c_name, sum(l_extendedprice * (1 - l_discount)) as revenue
+  select n_name, c_custkey, c_name, round(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18, 4))), 2) as revenue
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   where l_shipdate >= timestamp '1994-01-01' group by all)
-select n_name, c_name, round(revenue, 2) as revenue, cast(place as integer) as place
-from (select *, row_number() over (partition by n_name order by round(revenue, 2) desc, c_custkey) as place from v) where place <= 3""", "lineitem", "orders", "customer", "nation")
+select n_name, c_name, cast(revenue as double) as revenue, cast(place as integer) as place
+from (select *, row_number() over (partition by n_name order by revenue desc, c_custkey) as place from v) where place <= 3""", "lineitem", "orders", "customer", "nation")
 def flagship(lineitem, orders, customer, nation):
     """The three best customers of each nation by revenue."""
-    items = lineitem.filter("l_shipdate >= timestamp_ntz'1994-01-01'").add_column("value", lambda r: r.l_extendedprice * (1 - r.l_discount)).select("l_orderkey", "value")
+    items = lineitem.filter("l_shipdate >= timestamp_ntz'1994-01-01'").add_column("value", lambda r: (r.l_extendedprice * (1 - r.l_discount)).cast("decimal(18,4)")).select("l_orderkey", "value")
     joined = items.inner_join(orders.select("o_orderkey", "o_custkey"), lambda a, b: a.l_orderkey == b.o_orderkey, sql_eq=True)
     joined = joined.inner_join(customer.select("c_custkey", "c_name", "c_nationkey"), lambda a, b: a.o_custkey == b.c_custkey, sql_eq=True)
     joined = joined.inner_join(nation.select("n_nationkey", "n_name"), lambda a, b: a.c_nationkey == b.n_nationkey, sql_eq=True)
     by_customer = Table.from_df(joined.group_by(GroupBy.on("n_name", "c_custkey", "c_name").sum("value", "revenue")).df, ["c_custkey"])
-    by_customer = by_customer.update_column("revenue", lambda r: F.round(r.revenue, 2))
+    by_customer = by_customer.update_column("revenue", lambda r: F.round(r.revenue, 2).cast("double"))
     ranked = by_customer.window(Window.partition_by("n_name").order_by(Sort.desc("revenue")).row_number("place"))
     return ranked.filter(lambda r: r.place <= 3).select("n_name", "c_name", "revenue", "place")
