@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.words import Words, blocks, shingles, sliding_minimum, spoken
+from weft.llm.words import Words, blocks, pieces, shingles, sliding_minimum, spoken
 from weft.plans.stage import written
 
 WINDOW = "id bigint, size int, code bigint, window string"
@@ -39,9 +39,9 @@ def _minima(w: Words, size: int, shingle: int) -> np.ndarray:
     return low
 
 
-def _clean(batch: pa.RecordBatch) -> tuple[list[int], list[str]]:
+def _clean(batch: pa.RecordBatch, overlap: int) -> tuple[list[int], list[str]]:
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    kept = [(i, spoken(t)) for i, t in zip(ids, texts, strict=True) if i is not None and t]
+    kept = [(i, part) for i, t in zip(ids, texts, strict=True) if i is not None and t for part in pieces(spoken(t), overlap)]
     return [k[0] for k in kept], [k[1] for k in kept]
 
 
@@ -53,7 +53,7 @@ def _out(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
 def _queries(run: int, shingle: int, short_items: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _clean(batch)
+            ids, texts = _clean(batch, run - 1)
             for first, last, w in blocks(texts):
                 length = np.bincount(w.text, minlength=last - first)
                 sizes = {run} | ({int(n) for n in np.unique(length) if shingle <= n < run} if short_items else set())
@@ -74,7 +74,7 @@ def _search(index: dict[int, np.ndarray], shingle: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _clean(batch)
+            ids, texts = _clean(batch, max(index, default=1) - 1)
             for first, _, w in blocks(texts):
                 rows = []
                 for size, known in index.items():

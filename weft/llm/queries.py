@@ -93,7 +93,8 @@ def _levels(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
-    return _levels(spark, at).where("lang = 'en' and level = 5").select(F.col("id").alias("doc_id"))
+    """English documents most of whose likelihood per word is that of level 5."""
+    return _levels(spark, at).where("lang = 'en' and level = 5 and posterior > 0.5").select(F.col("id").alias("doc_id"))
 
 
 def p10_levels(spark: SparkSession, at: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Reading level of each document by smoothed unigram language models, one per level.
 
 The models are word counts of the graded sample, smoothed towards the counts of all levels together
-(Dirichlet prior of `prior` words). A document is cut into passages at sentence stops and line ends;
-each passage has a posterior over the levels (equal priors), and the document's posterior is the mean
-over its passages, weighted by their words. So the speech as a whole decides: a single sentence,
-however extreme its words, has no more weight than its length. Bracketed interruptions, interruptions
-between dashes, quoted parts and the speaker's name before a colon are not part of the speech. Words
-that no level has do not count. With labelled=None the models are seeded by a readability formula.
+(Dirichlet prior of `prior` words). A document gets the level whose model gives its words the highest
+likelihood (equal priors). Words of one text are far from independent, so the posterior is taken from
+the likelihood per word: it says how much of the speech as a whole reads like its level, means the
+same for short and long texts, and a single sentence has no more weight than its length. Bracketed
+interruptions, interruptions between dashes, quoted parts and the speaker's name before a colon are
+not part of the speech; sentence stops play no part. Words that no level has do not count. Where there
+is no graded sample, fit_seeded() grades texts by a readability formula.
 
 The sample is fitted on the driver; it may have at most `max_panel` rows (an error beyond that, never
 a cut). Every document is scored over its whole text, map-side, without a shuffle.
 
-Defined cases: a text that is null, empty or without a known word has level null and posterior null.
-Equal posteriors give the lower level. Sample rows without level or text are left out. The language
-of a document is its lang; where that is null, the language whose function words are most frequent,
-null if there are none. Extra columns are never read.
+Defined cases: a text that is null, empty or without a known word has level and posterior null. Equal
+posteriors give the lower level. Sample rows without level or text are left out. The language of a
+document is its lang; where that is null, the language whose function words are most frequent, null if
+there are none. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.words import BRACKETED, BROKEN, blocks, word_hashes
+from weft.llm.words import BRACKETED, BROKEN, WORD, blocks, pieces, word_hashes
 
 # Frequent function words by which an unlabelled text is recognised.
 FUNCTION_WORDS = {
@@ -35,13 +36,11 @@ FUNCTION_WORDS = {
     "de": "der die das und ist nicht wir ein eine den des im zu mit von auf dem sie es auch nach wird sich bei als".split(),
     "fr": "le la les et de des est nous un une dans pour que qui ne pas sur avec vous au du par ce cette il".split(),
 }
-WORD = re.compile(r"[a-z0-9]+")
 QUOTED = re.compile("“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")
 ASIDE = re.compile(r"[—–]\s[^—–\n]{1,80}?\s[—–]")
 SPEAKER = re.compile(r"^[^\n.!?:]{1,60}:\s", re.M)
-STOP = re.compile(r"[.!?;]+\s|\n\s*\n|\n")
 
-SCORE = "id bigint, lang string, level int, posterior double, expected_level double, n_words bigint, n_passages int"
+SCORE = "id bigint, lang string, level int, posterior double, expected_level double, n_words bigint"
 
 
 def speech(text: str) -> str:
@@ -117,46 +116,42 @@ def _score(model: LevelModels):
         levels = len(model.levels)
         for batch in batches:
             ids, texts, langs = (batch.column(i).to_pylist() for i in range(3))
-            spoken, passages_of = [], []
+            parts: list[str] = []
+            owners: list[int] = []
             for i, text in enumerate(texts):
-                if langs[i] is None and text:
-                    langs[i] = _language(WORD.findall(text.lower()))
-                for part in STOP.split(speech(text)) if text else ():
-                    spoken.append(part)
-                    passages_of.append(i)
-            owner = np.array(passages_of, np.int64)
-            n = len(ids)
-            weight, mean, words, count = np.zeros((n, levels)), np.zeros((n, levels)), np.zeros(n, np.int64), np.zeros(n, np.int32)
-            for first, last, w in blocks(spoken):
+                if text:
+                    if langs[i] is None:
+                        langs[i] = _language(WORD.findall(text.lower()))
+                    own = pieces(speech(text), 0)
+                    parts += own
+                    owners += [i] * len(own)
+            owner, n = np.array(owners, np.int64), len(ids)
+            total, words = np.zeros((n, levels)), np.zeros(n, np.int64)
+            for first, _, w in blocks(parts):
                 at = np.minimum(np.searchsorted(model.hash, w.hash), len(model.hash) - 1)
                 known = model.hash[at] == w.hash
                 if not known.any():
                     continue
-                log_p, part = model.log_p[at[known]], w.text[known]
+                part = w.text[known]
                 edge = np.flatnonzero(np.diff(part, prepend=-1))
-                total = np.add.reduceat(log_p, edge, axis=0)
-                size = np.diff(np.append(edge, len(part)))
-                total -= total.max(1, keepdims=True)
-                post = np.exp(total)
-                post /= post.sum(1, keepdims=True)
                 doc = owner[first + part[edge]]
-                np.add.at(weight, doc, post * size[:, None])
-                np.add.at(words, doc, size)
-                np.add.at(count, doc, 1)
-            some = words > 0
-            mean[some] = weight[some] / words[some, None]
-            best = mean.argmax(1)
+                np.add.at(total, doc, np.add.reduceat(model.log_p[at[known]], edge, axis=0))
+                np.add.at(words, doc, np.diff(np.append(edge, len(part))))
+            none = words == 0
+            mean = total / np.maximum(words, 1)[:, None]
+            post = np.exp(mean - mean.max(1, keepdims=True))
+            post /= post.sum(1, keepdims=True)
+            best = post.argmax(1)
             yield pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(langs, pa.string()),
-                    pa.array(model.levels[best], pa.int32(), mask=~some),
-                    pa.array(mean[np.arange(n), best], pa.float64(), mask=~some),
-                    pa.array(mean @ model.levels, pa.float64(), mask=~some),
+                    pa.array(model.levels[best], pa.int32(), mask=none),
+                    pa.array(post[np.arange(n), best], pa.float64(), mask=none),
+                    pa.array(post @ model.levels, pa.float64(), mask=none),
                     pa.array(words),
-                    pa.array(count),
                 ],
-                names=["id", "lang", "level", "posterior", "expected_level", "n_words", "n_passages"],
+                names=["id", "lang", "level", "posterior", "expected_level", "n_words"],
             )
 
     return run

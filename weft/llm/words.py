@@ -36,6 +36,28 @@ def spoken(text: str) -> str:
     return BROKEN.sub("", low) if "\n" in low else low
 
 
+WORD = re.compile("[a-z0-9]+")
+
+
+def pieces(text: str, overlap: int, size: int = 1 << 22) -> list[str]:
+    """A very long text in parts cut between words; the last `overlap` words of a part begin the next."""
+    out, at, reach = [], 0, size
+    while len(text) - at > reach:
+        stop = at + reach
+        while stop < len(text) and text[stop].isalnum():
+            stop += 1
+        words = [m.start() for m in WORD.finditer(text, max(at, stop - 64 * (overlap + 1)), stop)]
+        if len(words) <= overlap + 1:
+            words = [m.start() for m in WORD.finditer(text, at, stop)]
+        if len(words) <= overlap + 1:  # too few words to overlap by: a longer part
+            reach += size
+            continue
+        out.append(text[at:stop])
+        at, reach = words[-overlap] if overlap else stop, size
+    out.append(text[at:])
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
