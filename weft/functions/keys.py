@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters stripped from both ends of a key.
-BLANKS = " \t\n\r\f\x0b "
+BLANKS = " \t\n\r\f\x0b\u00a0"
 
 
 def stripped(c: Column) -> Column:
@@ -27,7 +27,7 @@ def whole_number(c: Column) -> Column:
 
 def decimal_text(c: Column) -> Column:
     """The double that c spells once blanks and thousands commas are removed; null for anything else."""
-    bare = F.regexp_replace(c, "[\\s ,]", "")
+    bare = F.regexp_replace(c, "[\\s\u00a0,]", "")
     return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.intervals import DAY_US
+from weft.operators.skew import heavy_groups
 
 
 def slugs(types: list[str]) -> list[str]:
@@ -128,6 +129,7 @@ def event_features(
 ) -> DataFrame:
     """entity and, for every type t, t_n (bigint), t_last (timestamp_ntz) and t_total_s (double seconds)."""
     us = lambda c: F.unix_micros(events[c].cast("timestamp_ntz").cast("timestamp"))
+    spark = events.sparkSession
     rows = events.select(
         entity.alias("entity"), F.coalesce(kind, F.lit("none")).alias("kind"), events[event_id].cast("bigint").alias("event"), us(start).alias("s"), us(end).alias("e")
     ).where("entity is not null")
@@ -135,12 +137,15 @@ def event_features(
     if len(types) > max_types:
         raise ValueError(f"more than {max_types} event types")
     length = F.when(F.col("e") < F.col("s"), F.col("e") + DAY_US).otherwise(F.col("e")) - F.col("s")
-    big = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > salt_rows).collect()
-    heavy = [r.entity for r in big]  # at most rows / salt_rows
-    parts = max([-(-r.n // salt_rows) for r in big], default=1)
-    salt = F.when(F.col("entity").isin(heavy), F.pmod(F.xxhash64("event", "s"), F.lit(parts))).otherwise(0) if heavy else F.lit(0)
-    number = F.create_map(*(x for i, t in enumerate(types) for x in (F.lit(t), F.lit(i)))) if types else F.create_map().cast("map<string,int>")
-    ready = rows.select("entity", salt.cast("int").alias("salt"), number[F.col("kind")].alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
+    big, threshold = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), salt_rows)
+    numbers = F.broadcast(spark.createDataFrame(list(zip(types, range(len(types)))), "kind string, nr int"))  # at most max_types rows
+    ready = rows.join(numbers, "kind")
+    salt = F.lit(0)
+    if heavy := [r.entity for r in big]:  # at most a thousand
+        parts = spark.createDataFrame([(r.entity, -(-r.n // threshold)) for r in big], "entity string, parts bigint")
+        ready = ready.join(F.broadcast(parts), "entity", "left")
+        salt = F.pmod(F.xxhash64("event", "s"), F.coalesce("parts", F.lit(1)))
+    ready = ready.select("entity", salt.cast("int").alias("salt"), F.col("nr").alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
     buckets = ready.repartition("entity", "salt").sortWithinPartitions("entity", "salt", "kind", "event")
     named = slugs(types)
     names = ["entity", *(f"{t}_{x}" for t in named for x in ("n", "last", "total_s"))]

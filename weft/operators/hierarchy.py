@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.stage import release, written
+from weft.plans.stage import counts_of, release, written
 
 KEPT, RAKED, SPLICED, DONE = 0, 1, 2, 3
 
@@ -118,10 +118,11 @@ def _round(active: DataFrame, turn: int, with_paths: bool) -> DataFrame:
 def _contract(edges: DataFrame, with_paths: bool, max_rounds: int) -> list[DataFrame]:
     active, rounds = _start(edges), []
     for turn in range(max_rounds):
-        done = written(_round(active, turn, with_paths), f"round{turn}")
+        core = (F.col("tag") == DONE) & F.col("parent").isNotNull()
+        done = written(_round(active, turn, with_paths), f"round{turn}", kept=F.col("tag") == KEPT, spliced=F.col("tag") == SPLICED, cores=core)
         rounds.append(done)
         active = done.where(F.col("tag") == KEPT).drop("tag", "child", "base")
-        if active.isEmpty():
+        if not counts_of(done)["kept"]:
             return rounds
     raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
@@ -131,9 +132,11 @@ def cycles(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
     rounds = _contract(edges, False, max_rounds)
     is_core = (F.col("tag") == DONE) & F.col("parent").isNotNull()
     found = [r.where(is_core).select("id", F.least("id", "emin").alias("cycle_key")) for r in rounds]
-    known = None
+    known: DataFrame | None = None
     for r, cores in zip(reversed(rounds), reversed(found), strict=True):
-        new = cores
+        counts, new = counts_of(r), cores
+        if not counts["cores"] and (known is None or not counts["spliced"]):
+            continue
         if known is not None:
             spliced = r.where(F.col("tag") == SPLICED).select("id", "child")
             back = spliced.join(known.select(F.col("id").alias("child"), "cycle_key"), "child").select("id", "cycle_key")
@@ -143,7 +146,7 @@ def cycles(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
             release(last)
     for r in rounds:
         release(r)
-    return known
+    return known if known is not None else edges.sparkSession.createDataFrame([], "id bigint, cycle_key bigint")
 
 
 def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:

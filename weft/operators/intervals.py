@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.skew import heavy_groups
 from weft.plans.stage import written
 
 DAY_US = 86_400_000_000
@@ -108,18 +109,19 @@ def fragments(rows: DataFrame, slice_rows: int = 250_000) -> tuple[DataFrame, li
     """Merged spans per entity and slice (FRAGMENT), and the entities that were sliced.
 
     prev is the end of the period before; a fragment that starts at BEFORE continues the period of an
-    earlier slice. An entity is sliced if it has more than slice_rows rows, so at most rows / slice_rows
-    entities are; each gets one slice per slice_rows rows.
+    earlier slice. An entity is sliced if it has slice_rows rows and a thousandth of all; a slice then
+    has about that many, so entities times slices, all that the driver sees or broadcasts, are at most
+    500 * 500 however large the data is.
     """
     spark = rows.sparkSession
-    big = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows).collect()
+    big, threshold = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), slice_rows)
     sliced = rows.withColumn("slice", F.lit(0))
     heavy = [r.entity for r in big]
     if heavy:
-        most = max(ceil(r.n / slice_rows) for r in big)
+        most = max(ceil(r.n / threshold) for r in big)
         cuts = [i / most for i in range(1, most)]
         borders = rows.where(F.col("entity").isin(heavy)).groupBy("entity").agg(F.percentile_approx("s", cuts, 1000).alias("borders"))
-        borders = spark.createDataFrame(borders.collect(), "entity string, borders array<bigint>")  # at most rows / slice_rows rows
+        borders = spark.createDataFrame(borders.collect(), "entity string, borders array<bigint>")
         at = F.when(F.col("borders").isNotNull(), F.size(F.filter("borders", lambda b: b <= F.col("s")))).otherwise(0)
         sliced = rows.join(F.broadcast(borders), "entity", "left").select("entity", "s", "e", at.alias("slice"))
         tops = sliced.where(F.col("entity").isin(heavy)).groupBy("entity", "slice").agg(F.max("e").alias("e")).collect()

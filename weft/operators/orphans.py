@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.keys import canonical_key
+from weft.operators.skew import heavy_groups
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -74,13 +75,9 @@ def per_period(rows: DataFrame, period: str) -> DataFrame:
 
 
 def heavy_keys(counts: DataFrame, share: float, least: int) -> list[tuple[str, str]]:
-    """Keys of at least `least` references and of more than `share` of all; there are at most 1 / share of them."""
+    """Keys of at least `least` references and of `share` of all; there are at most 1 / share of them."""
     by_key = counts.groupBy("ref_field", "key").agg(F.sum("n").alias("n"))
-    candidates = by_key.where(F.col("n") >= least)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total < least:
-        return []
-    return [(r.ref_field, r.key) for r in candidates.where(F.col("n") > share * total).select("ref_field", "key").collect()]
+    return [(r.ref_field, r.key) for r in heavy_groups(by_key, least, share)[0]]
 
 
 def _is_heavy(heavy: list[tuple[str, str]]) -> Column:

@@ -11,7 +11,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -28,22 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and read back from the shared folder."""
+def written(df: DataFrame, label: str, **counted: Column) -> DataFrame:
+    """df, computed once and read back from the shared folder.
+
+    counted: conditions by name; how many rows meet each is counted on the way and is in counts_of().
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft/{label}-{uuid.uuid4().hex}"
+    schema, seen = df.schema, Observation()
+    if counted:
+        df = df.observe(seen, *(F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(n) for n, c in counted.items()))
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
+    out = spark.read.schema(schema).parquet(path)
+    out._weft_path, out._weft_counts = path, seen.get if counted else {}
     return out
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Size of the files behind a table made by written()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._weft_path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+def counts_of(df: DataFrame) -> dict[str, int]:
+    """What written() counted."""
+    return df._weft_counts
 
 
 def release(df: DataFrame) -> None:
