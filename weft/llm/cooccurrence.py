@@ -34,7 +34,7 @@ RUN_CODES = 1 << 21
 
 def book_numbers(books: Column) -> Column:
     """The distinct numbers in a list like `b4|B17 |`; parts that are no book are skipped."""
-    number = lambda x: F.regexp_extract(F.lower(x), r"^[\s ]*b([0-9]+)[\s ]*$", 1)
+    number = lambda x: F.regexp_extract(F.lower(x), "^[\\s\u00a0]*b([0-9]+)[\\s\u00a0]*$", 1)
     parts = F.filter(F.transform(F.split(books, r"\|"), number), lambda x: x != "")
     return F.array_distinct(F.transform(parts, lambda x: x.cast("bigint")))
 

@@ -10,8 +10,8 @@ most a relative error of 2^(drop_bits - 52) (returned as max_rel_error; 0 when e
 number of rows per group.
 
 Groups of up to heavy_rows rows are bisected inside one task each, all groups of a partition at once
-and vectorised. Larger groups (at most rows / heavy_rows of them) are bisected by distributed passes:
-five halvings a pass, since counts below 31 equally spaced midpoints come from one map-side combined
+and vectorised. Larger groups are bisected by distributed passes, `block` groups at a time: five
+halvings a pass, since counts below 31 equally spaced midpoints come from one map-side combined
 aggregate; only those counts, 33 a group and percentile at most, reach the driver.
 
 The percentile p of n values is the value of rank max(1, ceil(p * n)). Defined cases: null and NaN are
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.plans.stage import written
+from weft.plans.stage import release, written
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def _distributed(rows: DataFrame, sizes: dict[int, int], ps: list[float]) -> dic
     return out
 
 
-def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop_bits: int = 0, heavy_rows: int = 200_000) -> DataFrame:
+def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop_bits: int = 0, heavy_rows: int = 1_000_000, block: int = 500) -> DataFrame:
     """groups, n, one column per percentile, max_rel_error; from encoded(), summary() or union_of()."""
     spark, named = counts.sparkSession, list(ps.values())
     counts = written(counts.select(*groups, "code", "n"), "codes")
@@ -188,13 +188,17 @@ def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop
     light = counts
     if big:
         own = T.StructType([*(T.StructField(f"_{g}", counts.schema[g].dataType) for g in groups), T.StructField("gid", T.IntegerType())])
-        ids = F.broadcast(spark.createDataFrame([(*(r[g] for g in groups), i) for i, r in enumerate(big)], own))
         same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
-        heavy = counts.join(ids, same).select("gid", "code", "n")
-        light = counts.join(ids, same, "left_anti")
-        found = _distributed(heavy, {i: r.n for i, r in enumerate(big)}, named)
-        done = spark.createDataFrame([(*(r[g] for g in groups), r.n, *found[i]) for i, r in enumerate(big)], schema)
+        done = []
+        for at in range(0, len(big), block):
+            part = big[at : at + block]
+            ids = F.broadcast(spark.createDataFrame([(*(r[g] for g in groups), i) for i, r in enumerate(part)], own))
+            heavy = written(counts.join(ids, same).select("gid", "code", "n"), "heavy-codes")
+            light = light.join(ids, same, "left_anti")
+            found = _distributed(heavy, {i: r.n for i, r in enumerate(part)}, named)
+            release(heavy)
+            done += [(*(r[g] for g in groups), r.n, *found[i]) for i, r in enumerate(part)]
     out = light.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_within_tasks(len(groups), named, names), schema)
     if big:
-        out = out.unionAll(done)
+        out = out.unionAll(spark.createDataFrame(done, schema))
     return out.withColumn("max_rel_error", F.lit(0.0 if drop_bits == 0 else 2.0 ** (drop_bits - 52)))
