@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from weft.llm.reading import fit, fit_seeded, formula_level, reading_levels, speech
+from weft.llm.reading import fit, fit_seeded, formula_level, reading_levels, sentences, speech
 
 EASY = "the dog is big. we see the dog and the cat. you can run. the cat is small. "
 HARD = "Administrative jurisdiction exacerbates constitutionality, whereas remuneration subordinates apportionment of harmonisation. "
@@ -14,9 +14,13 @@ def model(spark):
     return fit(panel, "level", "text")
 
 
-def levels(spark, model, rows):
+def scores(spark, model, rows):
     df = spark.createDataFrame([(*r, "a", "b") for r in rows], DOCS)
-    return {r.id: (r.lang, r.level) for r in reading_levels(df, model, "doc_id", "text", "lang").collect()}
+    return {r.id: r for r in reading_levels(df, model, "doc_id", "text", "lang").collect()}
+
+
+def levels(spark, model, rows):
+    return {i: (r.lang, r.level) for i, r in scores(spark, model, rows).items()}
 
 
 def test_the_speech_as_a_whole_decides(spark, model):
@@ -33,6 +37,15 @@ def test_speech():
     assert "no" not in speech("we go — Lee: no! — on").split()
 
 
+def test_sentences():
+    assert sentences("We go. No. 4 is it! “Yes.” They stay") == ["We go", "No. 4 is it", "“Yes", "They stay"]
+    assert sentences("Revised record\nwe go home now\nthey stay here\nyou see it\n") == ["Revised record", "we go home now", "they stay here", "you see it"]
+    assert sentences("One ends here\nTwo goes\non here.\n\nThree") == ["One ends here", "Two goes on here.", "Three"]
+    wrapped = "The first line of this text is full and\nGoes on with a name of a place that is\nwrapped where the line of the page ends\nand so on until the long sentence stops.\nHere a second sentence begins on a line\nshort."
+    assert sentences(wrapped)[0].startswith("The first line of this text is full and Goes on") and len(sentences(wrapped)) == 2
+    assert sentences("") == []
+
+
 def test_bounds_and_seeding(spark):
     panel = spark.createDataFrame([(1, EASY)] * 3, "level int, text string")
     with pytest.raises(ValueError):
@@ -47,14 +60,15 @@ def test_bounds_and_seeding(spark):
 
 
 def test_held_out_accuracy(spark):
-    """Models of two thirds of the graded texts grade the other third."""
+    """Models of two thirds of the graded texts grade the other third; over all three folds."""
     rows = duckdb.sql("select panel_id, level, text from '/root/testdata/sf0.001/reading_panel.parquet'").fetchall()
-    panel = spark.createDataFrame([r[1:] for r in rows if r[0] % 3], "level int, text string")
-    held = [r for r in rows if r[0] % 3 == 0]
-    got = levels(spark, fit(panel, "level", "text"), [(r[0], r[2], "en") for r in held])
-    right = sum(got[r[0]][1] == r[1] for r in held)
-    assert right / len(held) >= 0.85, right
-    assert all(got[r[0]][1] == 5 for r in held if r[1] == 5)
+    got = {}
+    for fold in range(3):
+        panel = spark.createDataFrame([r[1:] for r in rows if r[0] // 3 % 3 != fold], "level int, text string")
+        got |= scores(spark, fit(panel, "level", "text"), [(r[0], r[2], "en") for r in rows if r[0] // 3 % 3 == fold])
+    wrong = [(r[1], got[r[0]].level) for r in rows if got[r[0]].level != r[1]]
+    assert len(wrong) / len(rows) <= 0.15, wrong
+    assert {r[0] for r in rows if r[1] == 5} == {i for i, r in got.items() if r.level == 5 and r.posterior > 0.5}
 
 
 def test_empty(spark, model):

@@ -1,13 +1,20 @@
-"""Reading level of each document by smoothed unigram language models, one per level.
+"""Reading level of each document by smoothed unigram language models, one mixture per level.
 
-The models are word counts of the graded sample, smoothed towards the counts of all levels together
-(Dirichlet prior of `prior` words). A document gets the level whose model gives its words the highest
+A level's model is a mixture of unigram models (a level may be demanding in several ways: by rare words
+or by long sentences). Every word is drawn together with the length class of its sentence, so a model
+has a distribution over words and one over length classes. The graded texts of a level are grouped by
+sentence and word length; each group is a component, smoothed towards its level and that towards all
+levels (Dirichlet priors). A document gets the level whose mixture gives its words the highest
 likelihood (equal priors). Words of one text are far from independent, so the posterior is taken from
 the likelihood per word: it says how much of the speech as a whole reads like its level, means the
-same for short and long texts, and a single sentence has no more weight than its length. Bracketed
-interruptions, interruptions between dashes, quoted parts and the speaker's name before a colon are
-not part of the speech; sentence stops play no part. Words that no level has do not count. Where there
-is no graded sample, fit_seeded() grades texts by a readability formula.
+same for short and long texts, and a single sentence has no more weight than its length. Where there is
+no graded sample, fit_seeded() grades texts by a readability formula.
+
+Bracketed interruptions, interruptions between dashes, quoted parts and the speaker's name before a
+colon are not part of the speech. A sentence ends with a stop before a capital or after a whole word, with a paragraph, and
+with a line unless the next line goes on: where most lines have neither capital nor stop every line is
+a sentence; elsewhere a line that begins with a small letter goes on, and in text that is wrapped at
+one width so does any line after a full one. Words that no level has have no likelihood, but count as length.
 
 The sample is fitted on the driver; it may have at most `max_panel` rows (an error beyond that, never
 a cut). Every document is scored over its whole text, map-side, without a shuffle.
@@ -27,8 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weft.llm.words import BRACKETED, BROKEN, WORD, blocks, pieces, word_hashes
+from weft.llm.words import BRACKETED, WORD, blocks, pieces, word_hashes
 
 # Frequent function words by which an unlabelled text is recognised.
 FUNCTION_WORDS = {
@@ -38,70 +46,149 @@ FUNCTION_WORDS = {
 }
 QUOTED = re.compile("“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")
 ASIDE = re.compile(r"[—–]\s[^—–\n]{1,80}?\s[—–]")
+CUT = re.compile(r"(?<=\w)[-‐¬\u00ad][^\S\n]*\r?\n\s*(?=\w)")
 SPEAKER = re.compile(r"^[^\n.!?:]{1,60}:\s", re.M)
 
 SCORE = "id bigint, lang string, level int, posterior double, expected_level double, n_words bigint"
 
 
 def speech(text: str) -> str:
-    """The spoken words of a text in lower case, without interruptions, quotations and name."""
-    low = BRACKETED.sub(" ", text)
-    low = QUOTED.sub(" ", low)
-    low = ASIDE.sub("\n", low)
-    low = SPEAKER.sub(" ", low)
-    return BROKEN.sub("", low.lower())
+    """What was spoken in a text: without interruptions, quotations and name, broken words joined."""
+    out = ASIDE.sub("\n", QUOTED.sub(" ", BRACKETED.sub(" ", text)))
+    return CUT.sub("", SPEAKER.sub(" ", out))
+
+
+STOP = re.compile(r"[.!?]+[\"”’)]*\s+(?=[\"“„‘(]*[A-ZÄÖÜÀÉ])|(?<=[a-z]{3})(?<!etc)[.!?]+\s+(?=[a-z])")
+MARKED = re.compile(r"[A-ZÄÖÜÀÉ.!?]")
+CLASSES = np.array([6, 11, 17, 24, 31, 45])  # upper ends of the length classes of sentences, in words
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a speech() in its own letter case."""
+    lines = [x.strip() for x in text.split("\n")]
+    width = max(map(len, lines))
+    inner = [len(x) for x, y in zip(lines, lines[1:]) if x and y]
+    wrapped = width <= 100 and len(inner) >= 4 and float(np.median(inner)) >= 0.75 * width
+    full = [x for x in lines if x]
+    if sum(not MARKED.search(x) for x in full) >= (0.85 if wrapped else 0.6) * len(full):
+        return full
+    parts: list[list[str]] = [[]]
+    for x in lines:
+        before = parts[-1][-1] if parts[-1] else ""
+        goes_on = bool(x) and bool(before) and (x[0].islower() or (wrapped and len(before) + len(x.split(" ", 1)[0]) >= width - 1 and before[-1] not in ".!?"))
+        if not goes_on:
+            parts.append([])
+        if x:
+            parts[-1].append(x)
+    return [s for p in parts if p for s in STOP.split(" ".join(p)) if s]
+
+
+def length_class(n_words: np.ndarray) -> np.ndarray:
+    return np.searchsorted(CLASSES, n_words, "left")
+
+
+class _Graded:
+    """Counts of one graded text."""
+
+    def __init__(self, text: str) -> None:
+        own = [w for w in (WORD.findall(s.lower()) for s in sentences(speech(text))) if w]
+        self.words = Counter(w for s in own for w in s)
+        self.classes = np.zeros(len(CLASSES) + 1)
+        for s in own:
+            self.classes[length_class(len(s))] += len(s)
+        n = max(1, sum(self.words.values()))
+        self.shape = np.array([np.log(n / max(1, len(own))), sum(len(w) * k for w, k in self.words.items()) / n / 3])
+
+
+def _groups(shapes: np.ndarray, most: int) -> np.ndarray:
+    """Group of each text: centres are chosen farthest first, while they are clearly apart, then settled."""
+    far = lambda: np.min([np.abs(shapes - c).sum(1) for c in centres], axis=0)
+    centres = [shapes.mean(0)]
+    centres = [shapes[far().argmax()]]
+    while len(centres) < most and far().max() > 0.25:
+        centres.append(shapes[far().argmax()])
+    for _ in range(10):
+        own = np.argmin([np.abs(shapes - c).sum(1) for c in centres], axis=0)
+        centres = [shapes[own == k].mean(0) if (own == k).any() else centres[k] for k in range(len(centres))]
+    return own
 
 
 class LevelModels:
-    """log P(word | level) of the known words, in the order of their hashes."""
-
-    def __init__(self, counts: dict[int, Counter], prior: float) -> None:
-        self.levels = np.array(sorted(counts), np.int32)
-        vocabulary = sorted(set().union(*counts.values()))
-        table = np.array([[counts[int(lv)][w] for lv in self.levels] for w in vocabulary], float).reshape(len(vocabulary), len(self.levels))
-        share = table.sum(1, keepdims=True) / max(table.sum(), 1)
-        log_p = np.log((table + prior * share) / (table.sum(0, keepdims=True) + prior))
+    """Components of all levels: level, log P(word) in the order of the words' hashes, log P(length class)."""
+
+    def __init__(self, texts: dict[int, list[_Graded]], prior: float, components: int) -> None:
+        self.levels = np.array(sorted(texts), np.int32)
+        vocabulary = sorted({w for own in texts.values() for t in own for w in t.words})
+        number = {w: i for i, w in enumerate(vocabulary)}
+
+        def count(own: list[_Graded]) -> tuple[np.ndarray, np.ndarray]:
+            words = np.zeros(len(vocabulary))
+            for t in own:
+                for w, k in t.words.items():
+                    words[number[w]] += k
+            return words, sum((t.classes for t in own), np.zeros(len(CLASSES) + 1))
+
+        def smoothed(x: np.ndarray, towards: np.ndarray, mass: float) -> np.ndarray:
+            return (x + mass * towards) / (x.sum() + mass)
+
+        every = count([t for own in texts.values() for t in own])
+        share = smoothed(every[0], np.full(len(vocabulary), 1 / max(1, len(vocabulary))), 1.0)
+        spread = np.full(len(CLASSES) + 1, 1 / (len(CLASSES) + 1))
+        rows = []
+        for number_of, level in enumerate(self.levels):
+            own = texts[int(level)]
+            words, classes = count(own)
+            level_words, level_classes = smoothed(words, share, prior), smoothed(classes, spread, prior)
+            group = _groups(np.array([t.shape for t in own]), components)
+            for k in np.unique(group):
+                part = count([t for t, g in zip(own, group) if g == k])
+                rows.append((number_of, np.log(smoothed(part[0], level_words, prior)), np.log(smoothed(part[1], level_classes, prior))))
         h = word_hashes(vocabulary)
         order = np.argsort(h)
-        self.hash, self.log_p = h[order], log_p[order]
+        self.hash, self.level_of = h[order], np.array([r[0] for r in rows])
+        self.log_p, self.log_class = np.array([r[1][order] for r in rows]).T.copy(), np.array([r[2] for r in rows]).T.copy()
+
+    def posterior(self, mean: np.ndarray) -> np.ndarray:
+        """Posterior of the levels from the log likelihoods per word of the components: the best component speaks for its level."""
+        best = np.full((len(mean), len(self.levels)), -np.inf)
+        for c, level in enumerate(self.level_of):
+            best[:, level] = np.maximum(best[:, level], mean[:, c])
+        post = np.exp(best - best.max(1, keepdims=True))
+        return post / post.sum(1, keepdims=True)
 
 
-def fit(panel: DataFrame, level: str, text: str, prior: float = 50.0, max_panel: int = 20_000) -> LevelModels:
+def fit(panel: DataFrame, level: str, text: str, prior: float = 50.0, components: int = 3, max_panel: int = 20_000) -> LevelModels:
     """Models from graded texts, at most max_panel of them."""
     rows = panel.select(panel[level].cast("int").alias("level"), panel[text].cast("string").alias("text")).where("level is not null and text is not null")
     rows = rows.limit(max_panel + 1).collect()
     if len(rows) > max_panel:
         raise ValueError(f"the graded sample has more than {max_panel} rows")
-    counts: dict[int, Counter] = {}
-    for r in rows:
-        counts.setdefault(r.level, Counter()).update(WORD.findall(speech(r.text)))
-    if not counts:
-        raise ValueError("the graded sample is empty")
-    return LevelModels(counts, prior)
+    return _fitted([(r.level, r.text) for r in rows], prior, components)
+
+
+def _fitted(rows: list[tuple[int, str]], prior: float, components: int) -> LevelModels:
+    texts: dict[int, list[_Graded]] = {}
+    for level, text in sorted(rows):
+        texts.setdefault(level, []).append(_Graded(text))
+    if not texts:
+        raise ValueError("there is no graded text")
+    return LevelModels(texts, prior, components)
 
 
 def formula_level(text: str, borders: tuple[float, ...] = (4.2, 4.7, 5.2, 6.5)) -> int | None:
     """A level from the mean word length and words a sentence, for seeding models without a graded sample."""
-    words = WORD.findall(speech(text))
+    own = sentences(speech(text))
+    words = WORD.findall(" ".join(own).lower())
     if not words:
         return None
-    sentences = max(1, len(re.findall(r"[.!?]+(?:\s|$)", text)))
-    score = sum(map(len, words)) / len(words) + min(len(words) / sentences, 40) / 40
+    score = sum(map(len, words)) / len(words) + min(len(words) / len(own), 40) / 40
     return 1 + sum(score > b for b in borders)
 
 
-def fit_seeded(texts: DataFrame, text: str, max_rows: int = 2_000, prior: float = 50.0) -> LevelModels:
+def fit_seeded(texts: DataFrame, text: str, max_rows: int = 2_000, prior: float = 50.0, components: int = 3) -> LevelModels:
     """Models from at most max_rows texts (those with the smallest hash) graded by formula_level."""
-    from pyspark.sql import functions as F
-
     rows = texts.select(texts[text].cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()
-    counts: dict[int, Counter] = {}
-    for r in rows:
-        if (level := formula_level(r.text)) is not None:
-            counts.setdefault(level, Counter()).update(WORD.findall(speech(r.text)))
-    if not counts:
-        raise ValueError("no text to seed from")
-    return LevelModels(counts, prior)
+    return _fitted([(level, r.text) for r in rows if (level := formula_level(r.text)) is not None], prior, components)
 
 
 def _language(words: list[str]) -> str | None:
@@ -113,7 +200,7 @@ def _language(words: list[str]) -> str | None:
 
 def _score(model: LevelModels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = len(model.levels)
+        width = model.log_p.shape[1]
         for batch in batches:
             ids, texts, langs = (batch.column(i).to_pylist() for i in range(3))
             parts: list[str] = []
@@ -122,25 +209,25 @@ def _score(model: LevelModels):
                 if text:
                     if langs[i] is None:
                         langs[i] = _language(WORD.findall(text.lower()))
-                    own = pieces(speech(text), 0)
+                    own = [p for s in sentences(speech(text)) for p in pieces(s.lower(), 0)]
                     parts += own
                     owners += [i] * len(own)
             owner, n = np.array(owners, np.int64), len(ids)
-            total, words = np.zeros((n, levels)), np.zeros(n, np.int64)
-            for first, _, w in blocks(parts):
+            total, words = np.zeros((n, width)), np.zeros(n, np.int64)
+            for first, last, w in blocks(parts):
                 at = np.minimum(np.searchsorted(model.hash, w.hash), len(model.hash) - 1)
                 known = model.hash[at] == w.hash
                 if not known.any():
                     continue
+                length = np.bincount(w.text, minlength=last - first)
                 part = w.text[known]
                 edge = np.flatnonzero(np.diff(part, prepend=-1))
-                doc = owner[first + part[edge]]
-                np.add.at(total, doc, np.add.reduceat(model.log_p[at[known]], edge, axis=0))
-                np.add.at(words, doc, np.diff(np.append(edge, len(part))))
+                size, here = np.diff(np.append(edge, len(part))), part[edge]
+                score = np.add.reduceat(model.log_p[at[known]], edge, axis=0) + size[:, None] * model.log_class[length_class(length[here])]
+                np.add.at(total, owner[first + here], score)
+                np.add.at(words, owner[first + here], size)
             none = words == 0
-            mean = total / np.maximum(words, 1)[:, None]
-            post = np.exp(mean - mean.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
+            post = model.posterior(total / np.maximum(words, 1)[:, None])
             best = post.argmax(1)
             yield pa.record_batch(
                 [
