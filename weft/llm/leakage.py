@@ -6,11 +6,12 @@ size: a query is every window of `run` consecutive words of an item (a set of ru
 shingles), and a document is searched as its windows of that same size. Items with fewer words than
 `run` form partitions of their own, one per length, if `short_items` is set. Within a partition query
 and segment have the same size, so containment 1 is Jaccard similarity 1 and one minimum hash per
-segment finds every match: no band or row parameters and no missed pair. Each hit is then verified by
-exact containment, the words of the window compared as text.
+segment finds every match: no band or row parameters and no missed pair. A hit is verified by exact
+containment in two steps: in the task by a hash of all shingles of the window in their order, so that
+common phrases cause no traffic, and after the join by the words themselves, compared as text.
 
-The minimum hashes of the items are sent to the tasks in blocks of at most `block_windows` windows
-(8 bytes each), one pass over the documents per block; documents move only as the few windows that hit.
+The hashes of the items are sent to the tasks in blocks of at most `block_windows` windows (16 bytes
+each), one pass over the documents per block; documents move only as the few windows that match.
 
 Defined cases: null or empty texts match nothing; items shorter than `run` (or, with short_items,
 than `shingle`) words match nothing; ids may be any bigint, null ids are left out; repeated documents
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from weft.llm.words import Words, blocks, pieces, shingles, sliding_minimum, spoken
 from weft.plans.stage import written
 
-WINDOW = "id bigint, size int, code bigint, window string"
+WINDOW = "id bigint, size int, code bigint, whole bigint, window string"
 
 
 def _minima(w: Words, size: int, shingle: int) -> np.ndarray:
@@ -45,9 +46,20 @@ def _clean(batch: pa.RecordBatch, overlap: int) -> tuple[list[int], list[str]]:
     return [k[0] for k in kept], [k[1] for k in kept]
 
 
-def _out(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
-    a, b, c, d = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["id", "size", "code", "window"])
+def _out(rows: list[tuple[int, int, int, int, str]]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.record_batch(columns, names=["id", "size", "code", "whole", "window"])
+
+
+def _rows(w: Words, ids: list[int], size: int, at: np.ndarray, low: np.ndarray, whole: np.ndarray) -> list[tuple[int, int, int, int, str]]:
+    codes, wholes = low[at].astype(np.int64).tolist(), whole[at].astype(np.int64).tolist()
+    return [(ids[w.text[i]], size, c, h, w.joined(i, size)) for i, c, h in zip(at.tolist(), codes, wholes, strict=True)]
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _queries(run: int, shingle: int, short_items: bool):
@@ -62,30 +74,30 @@ def _queries(run: int, shingle: int, short_items: bool):
                     mine = low != np.iinfo(np.uint64).max
                     if size < run:
                         mine &= length[w.text[: len(low)]] == size
-                    rows = [(ids[first + w.text[i]], size, int(low[i].astype(np.int64)), w.joined(i, size)) for i in np.flatnonzero(mine)]
+                    rows = _rows(w, ids[first:last], size, np.flatnonzero(mine), low, shingles(w, size))
                     for at in range(0, len(rows), 20_000):
                         yield _out(rows[at : at + 20_000])
 
     return read
 
 
-def _search(index: dict[int, np.ndarray], shingle: int):
-    """The windows of the documents whose minimum hash is in index[size] (sorted)."""
+def _search(index: dict[int, tuple[np.ndarray, np.ndarray]], shingle: int):
+    """The windows of the documents that match index[size]: sorted minimum hashes and sorted hashes of whole windows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = _clean(batch, max(index, default=1) - 1)
-            for first, _, w in blocks(texts):
+            for first, last, w in blocks(texts):
                 rows = []
-                for size, known in index.items():
+                for size, (minima, wholes) in index.items():
                     low = _minima(w, size, shingle)
                     if not len(low):
                         continue
-                    change = np.flatnonzero(np.diff(low)) + 1  # equal neighbours are looked up once
-                    begin = np.concatenate(([0], change))
-                    at = np.minimum(np.searchsorted(known, low[begin]), len(known) - 1)
-                    hit = np.repeat(known[at] == low[begin], np.diff(np.append(begin, len(low))))
-                    rows += [(ids[first + w.text[i]], size, int(low[i].astype(np.int64)), w.joined(i, size)) for i in np.flatnonzero(hit)]
+                    begin = np.concatenate(([0], np.flatnonzero(np.diff(low)) + 1))  # equal neighbours are looked up once
+                    hit = np.flatnonzero(np.repeat(_among(low[begin], minima), np.diff(np.append(begin, len(low)))))
+                    if len(hit):
+                        whole = shingles(w, size)
+                        rows += _rows(w, ids[first:last], size, hit[_among(whole[hit], wholes)], low, whole)
                 for at in range(0, len(rows), 20_000):
                     yield _out(rows[at : at + 20_000])
 
@@ -111,10 +123,10 @@ def leaks(
     block = F.pmod(F.xxhash64("code"), F.lit(n_blocks))
     found = None
     for b in range(n_blocks):
-        index: dict[int, list[int]] = {}
-        for r in windows.where(block == b).select("size", "code").distinct().toLocalIterator():
-            index.setdefault(r["size"], []).append(r["code"])
-        known = {size: np.sort(np.array(codes, np.int64).astype(np.uint64)) for size, codes in index.items()}
+        index: dict[int, list[tuple[int, int]]] = {}
+        for r in windows.where(block == b).select("size", "code", "whole").distinct().toLocalIterator():
+            index.setdefault(r["size"], []).append((r["code"], r["whole"]))
+        known = {size: tuple(np.unique(np.array(x, np.int64).astype(np.uint64)) for x in zip(*own, strict=True)) for size, own in index.items()}
         part = documents.select(documents[doc_id].cast("bigint"), documents[text].cast("string")).mapInArrow(_search(known, shingle), WINDOW)
         found = part if found is None else found.unionAll(part)
     queries = windows.select(F.col("id").alias("item_id"), "size", "window")
