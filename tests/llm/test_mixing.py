@@ -18,6 +18,12 @@ def test_tokens_are_those_of_the_tokenizer(text):
     assert token_counter(path, pattern)(text) == len(_encoding(path, pattern).encode_ordinary(text))
 
 
+def test_long_texts_and_pieces():
+    path, pattern = default_tokenizer()
+    text = "some words, 12 of them. " * 50_000 + "a" * 5_000
+    assert token_counter(path, pattern)(text) == len(_encoding(path, pattern).encode_ordinary(text))
+
+
 def test_plan():
     p = plan({"a": 100, "b": 1000, "c": 5}, {"a": (0.5, 2), "b": (0.3, 4), "gone": (0.2, 1)})
     assert p["a"]["copies"] == 2.0 and abs(p["b"]["copies"] - 0.12) < 1e-9

@@ -49,16 +49,24 @@ class _Lengths(dict):
         self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[piece] = len(self.encode(piece))
+        n = len(self.encode(piece))
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = n
         return n
 
 
 def token_counter(path: str, pattern: str):
     """text -> number of tokens. Merges never cross the pieces of `pattern`, so pieces are counted one by one and remembered."""
     lengths, pieces = _Lengths(_encoding(path, pattern).encode_ordinary), regex.compile(pattern)
-    return lambda text: sum(map(lengths.__getitem__, pieces.findall(text)))
+
+    def count(text: str) -> int:
+        if len(text) > 1_000_000:  # no list of all pieces
+            return sum(lengths[m.group()] for m in pieces.finditer(text))
+        return sum(map(lengths.__getitem__, pieces.findall(text)))
+
+    return count
 
 
 def default_tokenizer() -> tuple[str, str]:
