@@ -23,3 +23,10 @@ def test_scalars(spark):
     assert column(spark, [7, None], lambda c: scalars.text("v=", c), "int") == ["v=7", "v=null"]
     assert column(spark, ["a|b", "a", None], lambda c: scalars.piece(c, "|", 1)) == ["b", None, None]
     assert column(spark, ["x"], lambda c: scalars.now_ms())[0] > 1.6e12
+
+
+def test_session_settings(spark):
+    from weft.session import SETTINGS, session
+
+    assert session(spark__sql__caseSensitive="false") is not None and "spark.sql.adaptive.enabled" in SETTINGS
+    spark.conf.set("spark.sql.caseSensitive", "false")

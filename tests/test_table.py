@@ -325,3 +325,15 @@ def test_merge_cardinality_types_and_errors(spark, staff):
 def test_orders_are_pruned_when_not_asked_for(spark):
     t = Table.from_df(spark.range(10).withColumn("x", F.col("id") % 3), ["id"]).group_by(GroupBy.on("x").count())
     assert "min(" not in t.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_reach_the_scan_and_equal_keys_the_join(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id % 7 as k", "id * 2 as unused").write.parquet(str(tmp_path / "p"))
+    t = Table.read_parquet(spark, str(tmp_path / "p"), ["id"])
+    plan = lambda x: x.df._jdf.queryExecution().executedPlan().toString()
+    scan = plan(t.filter(lambda r: (r.k == 3) & (r.id > 5)).select("id"))
+    assert "EqualNullSafe(k,3)" in scan and "GreaterThan(id,5)" in scan and "unused" not in scan
+    for sql_eq in (False, True):
+        joined = plan(t.inner_join(t, lambda a, b: a.k == b.k, sql_eq=sql_eq))
+        assert "NestedLoop" not in joined and "Cartesian" not in joined
+    assert "NestedLoop" not in plan(t.merge(Merge.source(t, lambda a, b: a.id == b.id).present_in_both().update()))

@@ -84,10 +84,15 @@ def type_of(df: DataFrame, c: Column) -> T.DataType:
 
 
 def condition(df: DataFrame, c: Column) -> Column:
-    """c, checked to be boolean; null counts as false."""
+    """c, checked to be boolean. Filters and joins take null as false, and see through c to push it down or find its keys."""
     if not isinstance(type_of(df, c), (T.BooleanType, T.NullType)):
         raise TableError("a condition must be boolean")
-    return F.coalesce(c, F.lit(False))
+    return c
+
+
+def certain(df: DataFrame, c: Column) -> Column:
+    """A condition that is false where c is null, for use inside other conditions."""
+    return F.coalesce(condition(df, c), F.lit(False))
 
 
 def is_float(t: T.DataType) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.expr import Row, condition, is_number, resolve, type_of
+from weft.expr import Row, certain, condition, is_number, resolve, type_of
 from weft.naming import TableError, existing
 from weft.specs import BOTH, SOURCE_ONLY, TARGET_ONLY, Command, Merge
 
@@ -53,7 +53,7 @@ def merge(target: Table, spec: Merge, allow_type_widening: bool = False, sql_eq:
     for c in spec.commands:
         holds = here[c.context]
         if c.when is not None:
-            holds = holds & condition(both, resolve(c.when, *sees[c.context]))
+            holds = holds & certain(both, resolve(c.when, *sees[c.context]))
         applied = applied | holds
         if c.kind == "delete":
             deleted = deleted | holds

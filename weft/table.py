@@ -22,6 +22,7 @@ from weft.naming import TableError, quoted
 from weft.operators import aggregates, joins, reshape
 from weft.operators import merge as merging
 from weft.plans.stage import written
+from weft.sources import files
 from weft.specs import Append, Dedup, GroupBy, Melt, Merge, Pivot, Sort, Window
 
 Schema = T.StructType | str
@@ -82,12 +83,11 @@ class Table:
     @staticmethod
     def read_json(spark: SparkSession, path: str, schema: Schema | None = None, multiline: bool = True) -> Table:
         """A JSON file of one array (multiline) or one object a line. Without schema columns are in alphabetical order."""
-        reader = spark.read.option("multiLine", multiline)
-        return Table.from_df((reader.schema(schema) if schema is not None else reader).json(path))
+        return Table.from_df(files.json_rows(spark, path, schema, multiline))
 
     @staticmethod
     def read_parquet(spark: SparkSession, path: str, order: Sequence[str] = ()) -> Table:
-        return Table.from_df(spark.read.parquet(path), order)
+        return Table.from_df(files.parquet(spark, path), order)
 
     # -- plumbing ----------------------------------------------------------------------------
 
