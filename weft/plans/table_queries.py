@@ -77,9 +77,9 @@ def rename_all(nation):
     return nation.rename_all(str.upper)
 
 
-@query("select o_orderkey, o_custkey, o_orderdate, round(o_totalprice * 1.1, 2) as gross, extract(year from o_orderdate) as year from orders", "orders")
+@query("select o_orderkey, o_custkey, o_orderdate, o_totalprice * 2 as gross, extract(year from o_orderdate) as year from orders", "orders")
 def add_column(orders):
-    out = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").add_column("gross", lambda r: F.round(r.o_totalprice * 1.1, 2))
+    out = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").add_column("gross", lambda r: r.o_totalprice * 2)
     return out.add_column("year", lambda r: F.year(r.o_orderdate).cast("bigint")).drop("o_totalprice")
 
 
@@ -337,12 +337,12 @@ def win_values(orders):
     return orders.window(spec).select("o_orderkey", "first_o_totalprice", "last_o_totalprice", "third", "back")
 
 
-@query(f"select o_orderkey, count(*) over (partition by o_custkey) as count_all, count(nullif(o_orderstatus, 'F')) over (partition by o_custkey) as n, round(sum(o_totalprice) over (partition by o_custkey), 2) as total, round(avg(o_totalprice) over (partition by o_custkey), 3) as mean, max(o_totalprice) over (partition by o_custkey) as top, min(o_totalprice) over (partition by o_custkey) as low from orders", "orders")
+@query(f"select o_orderkey, count(*) over (partition by o_custkey) as count_all, count(nullif(o_orderstatus, 'F')) over (partition by o_custkey) as n, round(sum(o_totalprice) over (partition by o_custkey), 2) as total, avg(cast(round(o_totalprice * 100) as bigint)) over (partition by o_custkey) as mean_cents, max(o_totalprice) over (partition by o_custkey) as top, min(o_totalprice) over (partition by o_custkey) as low from orders", "orders")
 def win_aggregates(orders):
-    t = orders.add_column("s", lambda r: F.nullif(r.o_orderstatus, F.lit("F")))
-    spec = Window.partition_by("o_custkey").count().count("s", "n").sum("o_totalprice", "total").avg("o_totalprice", "mean").max("o_totalprice", "top").min("o_totalprice", "low")
-    out = t.window(spec).update_column("total", lambda r: F.round(r.total, 2)).update_column("mean", lambda r: F.round(r["mean"], 3))
-    return out.select("o_orderkey", "count_all", "n", "total", "mean", "top", "low")
+    t = orders.add_column("s", lambda r: F.nullif(r.o_orderstatus, F.lit("F"))).add_column("cents", lambda r: F.round(r.o_totalprice * 100).cast("bigint"))
+    spec = Window.partition_by("o_custkey").count().count("s", "n").sum("o_totalprice", "total").avg("cents", "mean_cents").max("o_totalprice", "top").min("o_totalprice", "low")
+    out = t.window(spec).update_column("total", lambda r: F.round(r.total, 2))
+    return out.select("o_orderkey", "count_all", "n", "total", "mean_cents", "top", "low")
 
 
 @query(f"select o_orderkey, round(coalesce(sum(o_totalprice) {_W} rows between 3 preceding and 2 preceding), 0), 2) as earlier, round(avg(o_totalprice) {_W} rows between 1 preceding and 1 following), 3) as around, count(*) {_W} rows between current row and unbounded following) as rest from orders", "orders")
@@ -466,18 +466,19 @@ def merge_last_wins(customer):
 
 @query("""
 with v as (
-  select n_name, c_custkey, c_name, round(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18, 4))), 2) as revenue
+  select n_name, c_custkey, c_name, cast(sum(cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as bigint))) as bigint) as units
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   where l_shipdate >= timestamp '1994-01-01' group by all)
-select n_name, c_name, cast(revenue as double) as revenue, cast(place as integer) as place
-from (select *, row_number() over (partition by n_name order by revenue desc, c_custkey) as place from v) where place <= 3""", "lineitem", "orders", "customer", "nation")
+select n_name, c_name, cast(floor(units / 100) as bigint) as revenue_cents, cast(place as integer) as place
+from (select *, row_number() over (partition by n_name order by units desc, c_custkey) as place from v) where place <= 3""", "lineitem", "orders", "customer", "nation")
 def flagship(lineitem, orders, customer, nation):
-    """The three best customers of each nation by revenue."""
-    items = lineitem.filter("l_shipdate >= timestamp_ntz'1994-01-01'").add_column("value", lambda r: (r.l_extendedprice * (1 - r.l_discount)).cast("decimal(18,4)")).select("l_orderkey", "value")
+    """The three best customers of each nation by revenue, in whole numbers so that sums are exact."""
+    units = lambda r: F.round(r.l_extendedprice * 100).cast("bigint") * (100 - F.round(r.l_discount * 100).cast("bigint"))
+    items = lineitem.filter("l_shipdate >= timestamp_ntz'1994-01-01'").add_column("value", units).select("l_orderkey", "value")
     joined = items.inner_join(orders.select("o_orderkey", "o_custkey"), lambda a, b: a.l_orderkey == b.o_orderkey, sql_eq=True)
     joined = joined.inner_join(customer.select("c_custkey", "c_name", "c_nationkey"), lambda a, b: a.o_custkey == b.c_custkey, sql_eq=True)
     joined = joined.inner_join(nation.select("n_nationkey", "n_name"), lambda a, b: a.c_nationkey == b.n_nationkey, sql_eq=True)
-    by_customer = Table.from_df(joined.group_by(GroupBy.on("n_name", "c_custkey", "c_name").sum("value", "revenue")).df, ["c_custkey"])
-    by_customer = by_customer.update_column("revenue", lambda r: F.round(r.revenue, 2).cast("double"))
-    ranked = by_customer.window(Window.partition_by("n_name").order_by(Sort.desc("revenue")).row_number("place"))
-    return ranked.filter(lambda r: r.place <= 3).select("n_name", "c_name", "revenue", "place")
+    by_customer = Table.from_df(joined.group_by(GroupBy.on("n_name", "c_custkey", "c_name").sum("value", "units")).df, ["c_custkey"])
+    ranked = by_customer.window(Window.partition_by("n_name").order_by(Sort.desc("units")).row_number("place"))
+    best = ranked.filter(lambda r: r.place <= 3).add_column("revenue_cents", lambda r: F.floor(r.units / 100))
+    return best.select("n_name", "c_name", "revenue_cents", "place")
