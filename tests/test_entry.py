@@ -28,7 +28,7 @@ def test_query_agrees_with_sql(spark, name):
     columns = sorted(got.columns)
 
     def rows(df):
-        text = lambda v: "" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        text = lambda v: "" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else repr(float(v)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
         return sorted(tuple(text(v) for v in r) for r in df[columns].itertuples(index=False))
 
     assert rows(got) == rows(want)
