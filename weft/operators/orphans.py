@@ -7,7 +7,8 @@ shuffled anti join. The two results are united.
 
 Defined cases: a null, empty or blank reference is no reference. A reference without time has no
 valid record and is an orphan. A dimension row without key or start is ignored; without end it is
-valid for good. Repeated dimension rows and overlapping validity periods are merged first. The same
+valid for good. Repeated dimension rows and overlapping validity periods are merged first (by the
+interval operator, which slices a key of very many periods). The same
 (id, field) is returned once, however often the fact was delivered. Empty facts give no rows; an
 empty dimension makes every reference an orphan. Extra columns on either side are never read.
 """
@@ -16,13 +17,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.keys import canonical_key
+from weft.operators.intervals import periods as continuous
 from weft.operators.skew import heavy_groups
+from weft.plans.stage import written
 
 FOREVER = "9999-12-31 00:00:00"
+SEPARATOR = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -55,16 +59,13 @@ def validity(refs: list[Reference]) -> DataFrame:
             F.coalesce(d[r.end].cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz")).alias("finish"),
         )
         parts = part if parts is None else parts.unionAll(part)
-    spans = (
-        parts.where("key is not null and begin is not null and finish > begin")
-        .groupBy("ref_field", "key", "begin")
-        .agg(F.max("finish").alias("finish"))
-    )
-    w = Window.partitionBy("ref_field", "key").orderBy("begin")
-    before = F.max("finish").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans.withColumn("new", F.when(before >= F.col("begin"), 0).otherwise(1))
-    numbered = fresh.withColumn("nr", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("ref_field", "key", "nr").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish")).drop("nr")
+    valid = parts.where("key is not null and begin is not null and finish > begin").distinct()
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    merged = continuous(valid.select(F.concat_ws(SEPARATOR, "ref_field", "key").alias("entity"), us("begin").alias("s"), us("finish").alias("e")))
+    whole = F.split("entity", SEPARATOR, 2)
+    back = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
+    out = merged.select(whole[0].alias("ref_field"), whole[1].alias("key"), back("period_start").alias("begin"), back("period_end").alias("finish"))
+    return written(out, "validity")
 
 
 def per_period(rows: DataFrame, period: str) -> DataFrame:
