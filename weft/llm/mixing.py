@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.plans.stage import written
@@ -229,10 +229,11 @@ def mix(
         "source string, source_tokens bigint, target_share double, max_repeats int, effective_share double, expected_copies double",
     )
     used = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("copies").alias("drawn_copies"), F.max("copies").alias("most_copies"))
-    total = used.agg(F.sum("drawn_tokens").alias("total"))
-    report = facts.join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(total)).select(
+    every = facts.join(F.broadcast(used), "source", "left")  # both have a row per source
+    all_tokens = F.sum("drawn_tokens").over(Window.partitionBy())
+    report = every.select(
         *facts.columns,
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("drawn_tokens", "drawn_copies", "most_copies")),
-        (F.coalesce("drawn_tokens", F.lit(0)) / F.col("total")).alias("actual_share"),
+        (F.coalesce("drawn_tokens", F.lit(0)) / all_tokens).alias("actual_share"),
     )
     return drawn, report
