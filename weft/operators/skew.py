@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,10 @@ def heavy_groups(counts: DataFrame, least: int, share: float = 0.001) -> tuple[l
     The threshold is the larger of `least` and `share` of the sum of n, so however large the data is, at
     most 1 / share groups reach it, and cutting each into parts of the threshold makes at most 2 / share parts.
     """
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(ceil(1 / share)).collect()
+    seen = Observation()  # the sum is taken on the way to the largest groups, in the same job
+    observed = counts.observe(seen, F.sum("n").alias("total"))
+    top = observed.where(F.col("n") >= least).orderBy(F.desc("n")).limit(ceil(1 / share)).collect()
     if not top:
         return [], least
-    least = max(least, ceil(share * counts.agg(F.sum("n")).first()[0]))
+    least = max(least, ceil(share * seen.get["total"]))
     return [r for r in top if r.n >= least], least
