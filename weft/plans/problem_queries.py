@@ -49,6 +49,13 @@ def p2_hierarchy(spark: SparkSession, at: str) -> DataFrame:
     return nodes.where("root is not null").select(F.col("id").alias("empid"), "root", "depth", path.alias("path"), "n_descendants", "missing_parent")
 
 
+def p2_employees(spark: SparkSession, at: str) -> DataFrame:
+    """p2_hierarchy for every employee, with cycle_key on a cycle; on and below one root, depth and path are null."""
+    nodes = hierarchy.hierarchy(_employees(spark, at))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
+    return nodes.select(F.col("id").alias("empid"), "root", "depth", path.alias("path"), "n_descendants", "missing_parent", "cycle_key")
+
+
 def p2_descendants(spark: SparkSession, at: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_employees(spark, at)))
 
@@ -75,7 +82,7 @@ def p4_features(spark: SparkSession, at: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_periods, p4_features)
+    f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_hierarchy, p2_employees, p2_descendants, p3_found, p3_periods, p4_features)
 }
 
 _KEY = r"regexp_replace(lower(trim({0}, E' \t\n\r\f\x0b ')), '^([^0-9]*)0+([0-9])', '\1\2')"
@@ -109,6 +116,18 @@ up as (
   select e.id, up.root, up.depth + 1, up.path || '/' || e.id, false from e join up on e.parent = up.id)
 """
 
+_ABOVE = _TREE + """, steps as (
+  select id as start, parent as here, cast(1 as bigint) as distance, [id, parent] as seen
+  from e where parent <> id and parent in (select id from e)
+  union all
+  select s.start, e.parent, s.distance + 1, list_append(seen, e.parent) from steps s join e on e.id = s.here
+  where not list_contains(seen, e.parent) and e.parent in (select id from e)),
+rings as (
+  select id, id as other from e where parent = id
+  union
+  select a.start, unnest([a.start, a.here]) from steps a join steps b on b.start = a.here and b.here = a.start)
+"""
+
 _SPANS = r"""
 with runs as (
   select lower(trim(instance, E' \t\n\r\f\x0b ')) as instance, start_time as s,
@@ -144,6 +163,12 @@ where a.start = a.here group by a.start""",
     + """, n as (
   select cast(x as bigint) as id, count(*) - 1 as n_descendants from (select unnest(string_split(path, '/')) as x from up) group by 1)
 select up.id as empid, root, depth, path, cast(n_descendants as bigint) as n_descendants, missing_parent from up join n on n.id = up.id""",
+    "p2_employees": _ABOVE
+    + """, n as (select here as id, count(*) as n from steps group by 1),
+c as (select id, min(other) as cycle_key from rings group by 1)
+select e.id as empid, root, depth, path, case when cycle_key is null then cast(coalesce(n, 0) as bigint) end as n_descendants,
+  coalesce(missing_parent, false) as missing_parent, cycle_key
+from e left join up on up.id = e.id left join n on n.id = e.id left join c on c.id = e.id""",
     "p2_descendants": _TREE
     + """select cast(x as bigint) as ancestor, id as descendant, distance from (
   select id, unnest(string_split(path, '/')) as x, depth - unnest(range(0, depth + 1)) as distance from up) where distance > 0""",
