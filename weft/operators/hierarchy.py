@@ -12,7 +12,8 @@ linear in the nodes and no tree, path or component is gathered anywhere.
 Defined cases: a row without id is left out; a repeated id keeps one row (largest parent). A parent
 that is null or not in the table makes a root (`missing_parent` marks the latter). Nodes on a cycle
 have `cycle_key`, the smallest id on it, and neither root, depth, path nor size; nodes below a cycle
-have neither root, depth nor path, but their number of descendants. An empty table gives an empty one.
+have neither root, depth nor path, but their number of descendants, and in `chain` the ids from the
+cycle down to them. One node of each cycle has all its ids in `ring`. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -150,7 +151,11 @@ def cycles(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
 
 
 def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
-    """id, parent, root, depth (0 at a root), path (ids, root first), n_descendants, cycle_key, missing_parent."""
+    """id, parent, root, depth (0 at a root), path (ids, root first), n_descendants, cycle_key, missing_parent, chain, ring.
+
+    chain, below a cycle: ids from the node of the cycle where it hangs to the node itself. ring, at one node of
+    each cycle: all ids of the cycle, each followed by its parent.
+    """
     rounds = _contract(edges, True, max_rounds)
     resolved: list[DataFrame] = []
     for r in reversed(rounds):
@@ -163,10 +168,15 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
             F.when(root, F.array("id")).alias("path"),
             F.when(root, F.col("w")).alias("size"),
             F.when(~root, F.least("id", "emin")).alias("cycle_key"),
+            F.lit(None).cast("array<bigint>").alias("chain"),
+            F.when(~root, F.concat(F.array("id"), "seg")).alias("ring"),
         )
         if resolved:
             known = reduce(DataFrame.unionAll, resolved)
-            up = known.select(F.col("id").alias("parent"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
+            hangs = F.coalesce("chain", F.when(F.col("cycle_key").isNotNull(), F.array("id")))
+            up = known.select(
+                F.col("id").alias("parent"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"), hangs.alias("u_chain")
+            )
             down = known.select(F.col("id").alias("child"), F.col("size").alias("d_size"), F.col("cycle_key").alias("d_key"))
             gone = r.where(F.col("tag").isin(RAKED, SPLICED)).withColumn("child", F.when(F.col("tag") == SPLICED, F.col("child")))
             gone = gone.join(up, "parent", "left").join(down, "child", "left")
@@ -178,6 +188,8 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
                 F.concat("u_path", F.reverse("seg"), F.array("id")).alias("path"),
                 F.when(F.col("tag") == RAKED, F.col("w")).when(F.col("d_key").isNull(), F.col("base") + F.col("d_size")).alias("size"),
                 F.col("d_key").alias("cycle_key"),
+                F.when(F.col("d_key").isNull(), F.concat("u_chain", F.reverse("seg"), F.array("id"))).alias("chain"),
+                F.lit(None).cast("array<bigint>").alias("ring"),
             )
             new = new.unionAll(back)
         resolved.append(written(new, "resolved"))
@@ -186,7 +198,7 @@ def hierarchy(edges: DataFrame, max_rounds: int = 400) -> DataFrame:
     known = reduce(DataFrame.unionAll, resolved)
     first = edges.where("id is not null").groupBy("id").agg(F.max("parent").alias("parent"))
     return known.join(first, "id").select(
-        "id", "parent", "root", "depth", "path", (F.col("size") - 1).alias("n_descendants"), "cycle_key", "missing_parent"
+        "id", "parent", "root", "depth", "path", (F.col("size") - 1).alias("n_descendants"), "cycle_key", "missing_parent", "chain", "ring"
     )
 
 
@@ -198,3 +210,21 @@ def descendants(nodes: DataFrame) -> DataFrame:
     """
     steps = nodes.where("path is not null").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor"))
     return steps.where(F.col("at") < F.col("depth")).select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def all_descendants(nodes: DataFrame) -> DataFrame:
+    """descendants(), and the same for the nodes on and below a cycle: ancestor, descendant, distance.
+
+    A chain names the ancestors up to the cycle and is exploded like a path. A node on a cycle is above
+    all other nodes of that cycle and all that hang below any of them, by the fewest steps; it is not its
+    own descendant. For this the members of a cycle are joined to the nodes that hang on it.
+    """
+    down = nodes.where("chain is not null").select(F.col("id").alias("descendant"), "chain", (F.size("chain") - 1).cast("bigint").alias("depth"))
+    steps = down.select("descendant", "depth", F.posexplode("chain").alias("at", "ancestor"))
+    below = steps.where((F.col("at") > 0) & (F.col("at") < F.col("depth"))).select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    rings = nodes.where("ring is not null").select("ring", F.posexplode("ring").alias("at", "hook"))
+    hung = down.select("descendant", F.col("chain")[0].alias("hook"), "depth")
+    on = rings.select(F.col("hook").alias("descendant"), "hook", F.lit(0).cast("bigint").alias("depth"))
+    around = hung.unionAll(on).join(rings, "hook").select("descendant", "depth", "at", F.size("ring").alias("length"), F.posexplode("ring").alias("to", "ancestor"))
+    over = around.where("ancestor <> descendant").select("ancestor", "descendant", (F.col("depth") + F.pmod(F.col("to") - F.col("at"), "length")).alias("distance"))
+    return descendants(nodes).unionAll(below).unionAll(over)

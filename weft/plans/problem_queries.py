@@ -60,6 +60,11 @@ def p2_descendants(spark: SparkSession, at: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_employees(spark, at)))
 
 
+def p2_reports(spark: SparkSession, at: str) -> DataFrame:
+    """p2_descendants for every employee, those on and below a cycle too."""
+    return hierarchy.all_descendants(hierarchy.hierarchy(_employees(spark, at)))
+
+
 def _runs(spark: SparkSession, at: str) -> DataFrame:
     runs = _read(spark, at, "fake_runs")
     return intervals.spans(runs, label(runs["instance"]), "start_time", "end_time")
@@ -82,7 +87,7 @@ def p4_features(spark: SparkSession, at: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_hierarchy, p2_employees, p2_descendants, p3_found, p3_periods, p4_features)
+    f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_hierarchy, p2_employees, p2_descendants, p2_reports, p3_found, p3_periods, p4_features)
 }
 
 _KEY = r"regexp_replace(lower(trim({0}, E' \t\n\r\f\x0b ')), '^([^0-9]*)0+([0-9])', '\1\2')"
@@ -172,6 +177,7 @@ from e left join up on up.id = e.id left join n on n.id = e.id left join c on c.
     "p2_descendants": _TREE
     + """select cast(x as bigint) as ancestor, id as descendant, distance from (
   select id, unnest(string_split(path, '/')) as x, depth - unnest(range(0, depth + 1)) as distance from up) where distance > 0""",
+    "p2_reports": _ABOVE + "select here as ancestor, start as descendant, distance from steps",
     "p3_found": _SPANS
     + """, g as (
   select instance, period_end as gap_start, lead(period_start) over (partition by instance order by nr) as gap_end from periods)
