@@ -46,9 +46,9 @@ def p6_found(spark: SparkSession, at: str) -> DataFrame:
     return parts[0].unionAll(parts[1])
 
 
-def _book_pairs(spark: SparkSession, at: str) -> DataFrame:
+def _book_pairs(spark: SparkSession, at: str, min_together: int = 30) -> DataFrame:
     baskets = _read(spark, at, "explode_test")
-    return cooccurrence.pairs(baskets, "basket_id", cooccurrence.book_numbers(baskets["books"]), min_together=30)
+    return cooccurrence.pairs(baskets, "basket_id", cooccurrence.book_numbers(baskets["books"]), min_together=min_together)
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
@@ -56,11 +56,19 @@ def p7_found(spark: SparkSession, at: str) -> DataFrame:
     return often.select(F.col("item_a").alias("book_a"), F.col("item_b").alias("book_b"))
 
 
-def p7_association(spark: SparkSession, at: str) -> DataFrame:
-    out = _book_pairs(spark, at)
+def _association(out: DataFrame) -> DataFrame:
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("odds_ratio", 4).alias("odds_ratio"))
 
 
+def p7_association(spark: SparkSession, at: str) -> DataFrame:
+    return _association(_book_pairs(spark, at))
+
+
+def p7_pairs(spark: SparkSession, at: str) -> DataFrame:
+    """p7_association for every pair that is together at least once."""
+    return _association(_book_pairs(spark, at, min_together=1))
+
+
 def _leaks(spark: SparkSession, at: str) -> DataFrame:
     return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "eval_items"), "doc_id", "text", "item_id", "passage")
 
@@ -103,7 +111,7 @@ def p10_levels(spark: SparkSession, at: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p5_percentiles, p5_combined_loads, p6_found, p7_found, p7_association, p8_found, p8_items, p9_draw, p9_shares, p10_found, p10_levels)
+    for f in (p5_percentiles, p5_combined_loads, p6_found, p7_found, p7_association, p7_pairs, p8_found, p8_items, p9_draw, p9_shares, p10_found, p10_levels)
 }
 
 _SALARIES = """
@@ -130,6 +138,11 @@ every as (select item_a, item_b, n_ab, p.n as n_a, q.n as n_b, total.n as n
           from two join one p on p.book = item_a join one q on q.book = item_b, total)
 """
 
+_ALL_BOOKS = _BOOKS.replace(" having count(*) >= 30", "")
+
+_ASSOCIATION = """select item_a, item_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b), 6) as lift,
+         round(((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5)) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 4) as odds_ratio from every"""
+
 _TOP = r"""
 with l as (select *, row_number() over (partition by row_id order by updated_at desc, loaded_at desc) as nr from testing_window_long where row_id is not null),
 d as (select *, row_number() over (partition by row_id order by updated_at desc, loaded_at desc) as nr from testing_window_dup_sal where row_id is not null),
@@ -149,4 +162,5 @@ SQL: dict[str, str] = {
     "p7_association": _BOOKS
     + """select item_a, item_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b), 6) as lift,
          round(((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5)) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 4) as odds_ratio from every""",
+    "p7_pairs": _ALL_BOOKS + _ASSOCIATION,
 }
