@@ -7,7 +7,8 @@ rows in which every type has its three columns. Entities that were salted have o
 those few rows (a bounded number) are added up at the end. Nothing else is shuffled twice.
 
 Defined cases: events without entity are left out. A null or blank type is the type `none`. The same
-event id under one entity and type counts once; events without id all count. Null or negative
+event id under one entity and type counts once, by its delivery with the latest start (then the longest);
+events without id all count. Null or negative
 durations add nothing (an end before the start is moved by one day first), null starts are no latest
 time. A type that an entity never had gives count 0, total 0 and no latest time. An empty table gives
 an empty result without type columns. More than max_types types raise an error: none is dropped.
@@ -144,9 +145,11 @@ def event_features(
     if heavy := [r.entity for r in big]:  # at most a thousand
         parts = spark.createDataFrame([(r.entity, -(-r.n // threshold)) for r in big], "entity string, parts bigint")
         ready = ready.join(F.broadcast(parts), "entity", "left")
-        salt = F.pmod(F.xxhash64("event", "s"), F.coalesce("parts", F.lit(1)))
+        salt = F.pmod(F.xxhash64("event", F.when(F.col("event").isNull(), F.col("s"))), F.coalesce("parts", F.lit(1)))
     ready = ready.select("entity", salt.cast("int").alias("salt"), F.col("nr").alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
-    buckets = ready.repartition("entity", "salt").sortWithinPartitions("entity", "salt", "kind", "event")
+    buckets = ready.repartition("entity", "salt").sortWithinPartitions(
+        "entity", "salt", "kind", "event", F.col("s").desc_nulls_last(), F.col("length").desc_nulls_last()
+    )
     named = slugs(types)
     names = ["entity", *(f"{t}_{x}" for t in named for x in ("n", "last", "total_s"))]
     kinds = {"n": "bigint", "last": "bigint", "total_s": "double"}
