@@ -69,8 +69,8 @@ def p7_pairs(spark: SparkSession, at: str) -> DataFrame:
     return _association(_book_pairs(spark, at, min_together=1))
 
 
-def _leaks(spark: SparkSession, at: str) -> DataFrame:
-    return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "eval_items"), "doc_id", "text", "item_id", "passage")
+def _leaks(spark: SparkSession, at: str, short_items: bool = False) -> DataFrame:
+    return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "eval_items"), "doc_id", "text", "item_id", "passage", short_items=short_items)
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
@@ -78,9 +78,9 @@ def p8_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, at: str) -> DataFrame:
-    """Per leaked item: documents with a part of it, with all of it, and the largest share in one document."""
+    """Per leaked item, short ones too: documents with a part of it, with all of it, and the largest share in one document."""
     whole = F.sum((F.col("share") >= 1).cast("int"))
-    return _leaks(spark, at).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), whole.alias("n_whole"), F.max("share").alias("largest_share"))
+    return _leaks(spark, at, short_items=True).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), whole.alias("n_whole"), F.max("share").alias("largest_share"))
 
 
 def _mixed(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
