@@ -1,10 +1,10 @@
 """One wide row per entity from events: count, latest start and total duration of every event type.
 
-The events are bucketed by entity (large entities by entity and a salt of the event id) and sorted by
-entity, type and event id in one shuffle; each task then streams its buckets, skips repeated
-deliveries, turns runs of equal (entity, type) into counters, totals and latest times, and emits wide
-rows in which every type has its three columns. Entities that were salted have one wide row per salt;
-those few rows (a bounded number) are added up at the end. Nothing else is shuffled twice.
+The events are bucketed by entity and sorted by entity, type and event id in one shuffle; each task then
+streams its buckets, skips repeated deliveries, turns runs of equal (entity, type) into counters, totals
+and latest times, and emits wide rows in which every type has its three columns. An entity of salt_rows
+events or more is bucketed by entity and a salt of the event id, about salt_rows events to a bucket; it
+has one wide row per salt, and only those rows are added up at the end.
 
 Defined cases: events without entity are left out. A null or blank type is the type `none`. The same
 event id under one entity and type counts once, by its delivery with the latest start (then the longest);
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.intervals import DAY_US
-from weft.operators.skew import heavy_groups
+from weft.operators.skew import heavy_groups, salted, without
 
 
 def slugs(types: list[str]) -> list[str]:
@@ -125,39 +125,33 @@ def event_features(
     start: str,
     end: str,
     max_types: int = 4_000,
-    salt_rows: int = 250_000,
+    salt_rows: int = 50_000,
     chunk: int = 512,
 ) -> DataFrame:
     """entity and, for every type t, t_n (bigint), t_last (timestamp_ntz) and t_total_s (double seconds)."""
     us = lambda c: F.unix_micros(events[c].cast("timestamp_ntz").cast("timestamp"))
-    spark = events.sparkSession
     rows = events.select(
         entity.alias("entity"), F.coalesce(kind, F.lit("none")).alias("kind"), events[event_id].cast("bigint").alias("event"), us(start).alias("s"), us(end).alias("e")
     ).where("entity is not null")
     types = sorted(r.kind for r in rows.select("kind").distinct().limit(max_types + 1).collect())
     if len(types) > max_types:
         raise ValueError(f"more than {max_types} event types")
+    numbers = F.broadcast(events.sparkSession.createDataFrame(list(zip(types, range(len(types)))), "kind string, nr int"))  # at most max_types rows
     length = F.when(F.col("e") < F.col("s"), F.col("e") + DAY_US).otherwise(F.col("e")) - F.col("s")
-    big, threshold = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), salt_rows)
-    numbers = F.broadcast(spark.createDataFrame(list(zip(types, range(len(types)))), "kind string, nr int"))  # at most max_types rows
-    ready = rows.join(numbers, "kind")
-    salt = F.lit(0)
-    if heavy := [r.entity for r in big]:  # at most a thousand
-        parts = spark.createDataFrame([(r.entity, -(-r.n // threshold)) for r in big], "entity string, parts bigint")
-        ready = ready.join(F.broadcast(parts), "entity", "left")
-        salt = F.pmod(F.xxhash64("event", F.when(F.col("event").isNull(), F.col("s"))), F.coalesce("parts", F.lit(1)))
-    ready = ready.select("entity", salt.cast("int").alias("salt"), F.col("nr").alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
-    buckets = ready.repartition("entity", "salt").sortWithinPartitions(
-        "entity", "salt", "kind", "event", F.col("s").desc_nulls_last(), F.col("length").desc_nulls_last()
-    )
+    ready = rows.join(numbers, "kind").select("entity", F.col("nr").alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
     named = slugs(types)
     names = ["entity", *(f"{t}_{x}" for t in named for x in ("n", "last", "total_s"))]
     kinds = {"n": "bigint", "last": "bigint", "total_s": "double"}
-    wide = buckets.mapInArrow(
-        _stream(len(types), names, chunk), ", ".join(["entity string", *(f"`{t}_{x}` {k}" for t in named for x, k in kinds.items())])
-    )
-    if heavy:
+    schema = ", ".join(["entity string", *(f"`{t}_{x}` {k}" for t in named for x, k in kinds.items())])
+
+    def wide(part: DataFrame, *keys: str) -> DataFrame:
+        buckets = part.repartition(*keys).sortWithinPartitions("entity", "salt", "kind", "event", F.col("s").desc_nulls_last(), F.col("length").desc_nulls_last())
+        return buckets.select("entity", "salt", "kind", "event", "s", "length").mapInArrow(_stream(len(types), names, chunk), schema)
+
+    heavy = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), ["entity"], salt_rows)
+    out = wide(without(ready, heavy, ["entity"]).withColumn("salt", F.lit(0)), "entity")
+    if heavy is not None:  # all deliveries of an event have one salt; events without id are spread by their start
+        spread = F.xxhash64("event", F.when(F.col("event").isNull(), F.col("s")))
         merge = [F.max(f"`{c}`").alias(c) if c.endswith("_last") else F.sum(f"`{c}`").alias(c) for c in names[1:]]
-        salted = wide.where(F.col("entity").isin(heavy)).groupBy("entity").agg(*merge)
-        wide = wide.where(~F.col("entity").isin(heavy)).unionAll(salted)
-    return wide.select(*(F.timestamp_micros(F.col(f"`{c}`")).cast("timestamp_ntz").alias(c) if c.endswith("_last") else F.col(f"`{c}`") for c in names))
+        out = out.unionAll(wide(salted(ready, heavy, ["entity"], spread), "entity", "salt").groupBy("entity").agg(*merge))
+    return out.select(*(F.timestamp_micros(F.col(f"`{c}`")).cast("timestamp_ntz").alias(c) if c.endswith("_last") else F.col(f"`{c}`") for c in names))

@@ -1,11 +1,15 @@
 """Overlapping and gapped intervals per entity: continuous periods and the gaps between them.
 
-Keyed state: each entity owns an ordered map of disjoint intervals (IntervalMap); an insertion finds
-what it touches by binary search and merges it. In the batch form the rows are shuffled once by
-entity and stream through one map at a time. An entity with more than a bounded number of rows is cut
-into time slices at its own quantiles; each slice starts from a seed interval that reaches to the
-latest end of all earlier slices, so slices are merged in parallel and no gap or period is lost at
-their borders. weft.streaming.intervals keeps the same map in streaming state.
+Keyed state: each entity owns an ordered map of disjoint intervals (IntervalMap). Spans are inserted in
+the order in which they come; an insertion finds what it overlaps by binary search, merges it and
+updates the gaps beside it. Rows are shuffled once by entity and only grouped, not sorted by time; one
+map at a time is in a task's memory. weft.streaming.intervals keeps the same map in streaming state.
+
+An entity of slice_rows spans or more is spread over tasks by range of start, with borders that follow
+its own spans, so that a task has about slice_rows of them whatever the entity's size and however its
+starts crowd. Equal starts are united before that. Each task merges its range in a map of its own; the
+latest end of all earlier ranges, one row a range and entity, then decides which intervals go on from
+before and where the gaps are. Those rows are tables: nothing of the entities reaches the driver.
 
 Defined cases: rows without entity, start or end are left out. An end before its start is moved by
 `wrap` (default one day) or, with wrap=None, the row is left out; an end that is still before its
@@ -17,43 +21,47 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.skew import heavy_groups
+from weft.operators.skew import heavy_groups, part_of, without
 from weft.plans.stage import written
 
 DAY_US = 86_400_000_000
-#: Start of a seed interval, before any time.
-BEFORE = -(1 << 62)
+#: Ranges over which the large entities are spread at most.
+MOST_RANGES = 20_000
 
 
 class IntervalMap:
-    """Disjoint closed intervals in order, as two parallel lists."""
+    """Disjoint closed intervals in order, and the gap before each (as the end of its predecessor)."""
 
-    __slots__ = ("starts", "ends")
+    __slots__ = ("before", "ends", "starts")
 
     def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
-        self.starts = starts or []
-        self.ends = ends or []
+        self.starts, self.ends = starts or [], ends or []
+        self.before: list[int | None] = [None, *self.ends[:-1]] if self.ends else []
 
     def insert(self, start: int, end: int) -> None:
-        starts, ends = self.starts, self.ends
-        if not ends or start > ends[-1]:
-            starts.append(start)
-            ends.append(end)
-            return
+        starts, ends, before = self.starts, self.ends, self.before
         i, j = bisect_left(ends, start), bisect_right(starts, end)
-        if i < j:
-            start, end = min(start, starts[i]), max(end, ends[j - 1])
-        starts[i:j] = [start]
-        ends[i:j] = [end]
+        if j - i == 1:  # it overlaps one interval, which stays where it is
+            if start < starts[i]:
+                starts[i] = start
+            if end <= ends[i]:
+                return
+            ends[i] = end
+        else:
+            if i < j:
+                start, end = min(start, starts[i]), max(end, ends[j - 1])
+            starts[i:j], ends[i:j], before[i:j] = [start], [end], [ends[i - 1] if i else None]
+        if i + 1 < len(before):
+            before[i + 1] = end
 
     def gaps(self) -> Iterator[tuple[int, int]]:
-        return zip(self.ends, self.starts[1:], strict=False)
+        return zip(self.before[1:], self.starts[1:], strict=True)
 
 
 def spans(df: DataFrame, entity: Column, start: str, end: str, wrap: int | None = DAY_US) -> DataFrame:
@@ -65,109 +73,93 @@ def spans(df: DataFrame, entity: Column, start: str, end: str, wrap: int | None
     return rows.where("e >= s")
 
 
+MERGED = "entity string, slice int, s bigint, e bigint, prev bigint"
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (entity, slice, s, e) to fragments (entity, slice, s, e, prev)."""
-    out: tuple[list, ...] = ([], [], [], [], [])
+    """Rows (entity, s, e) grouped by entity to the intervals of MERGED; slice is the task."""
+    task = TaskContext.get().partitionId()
+    entities: list[str] = []
+    numbers: tuple[list, ...] = ([], [], [])
 
     def flush() -> pa.RecordBatch:
+        n = len(entities)
         batch = pa.record_batch(
-            [pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])],
+            [pa.array(entities, pa.string()), pa.array([task] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in numbers)],
             names=["entity", "slice", "s", "e", "prev"],
         )
-        for x in out:
+        for x in (entities, *numbers):
             x.clear()
         return batch
 
     def emit() -> None:
-        n = len(state.starts)
-        out[0].extend([at[0]] * n)
-        out[1].extend([at[1]] * n)
-        out[2].extend(state.starts)
-        out[3].extend(state.ends)
-        out[4].append(None)
-        out[4].extend(state.ends[:-1])
+        entities.extend([at] * len(state.starts))
+        for out, own in zip(numbers, (state.starts, state.ends, state.before), strict=True):
+            out.extend(own)
 
     at, state = None, IntervalMap()
     for batch in batches:
-        for entity, part, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at is None or at[0] != entity or at[1] != part:
+        for entity, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if entity != at:
                 if at is not None:
                     emit()
-                    if len(out[0]) > 20_000:
+                    if len(entities) > 20_000:
                         yield flush()
-                at, state = (entity, part), IntervalMap()
+                at, state = entity, IntervalMap()
             state.insert(s, e)
     if at is not None:
         emit()
         yield flush()
 
 
-FRAGMENT = "entity string, slice int, s bigint, e bigint, prev bigint"
+def _split(rows: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(intervals of the ordinary entities, intervals of the large ones by range, or None), both MERGED.
 
+    The latter have `reach` too, the latest end of all earlier ranges of the entity.
+    """
+    heavy = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), ["entity"], slice_rows)
+    light = without(rows, heavy, ["entity"]).select("entity", "s", "e")
+    whole = light.repartition("entity").sortWithinPartitions("entity").mapInArrow(_merge, MERGED)
+    if heavy is None:
+        return whole, None
+    large = rows.join(F.broadcast(heavy.select("entity")), "entity").groupBy("entity", "s").agg(F.max("e").alias("e"))
+    ranges = large.repartitionByRange(min(part_of(heavy), MOST_RANGES), "entity", "s").sortWithinPartitions("entity")
+    cut = written(ranges.mapInArrow(_merge, MERGED), "ranges")
+    earlier = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    reach = cut.groupBy("entity", "slice").agg(F.max("e").alias("top")).select("entity", "slice", F.max("top").over(earlier).alias("reach"))
+    return whole, cut.join(reach, ["entity", "slice"])
 
-def fragments(rows: DataFrame, slice_rows: int = 250_000) -> tuple[DataFrame, list[str]]:
-    """Merged spans per entity and slice (FRAGMENT), and the entities that were sliced.
 
-    prev is the end of the period before; a fragment that starts at BEFORE continues the period of an
-    earlier slice. An entity is sliced if it has slice_rows rows and a thousandth of all; a slice then
-    has about that many, so entities times slices, all that the driver sees or broadcasts, are at most
-    500 * 500 however large the data is.
-    """
-    spark = rows.sparkSession
-    big, threshold = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), slice_rows)
-    sliced = rows.withColumn("slice", F.lit(0))
-    heavy = [r.entity for r in big]
-    if heavy:
-        most = max(ceil(r.n / threshold) for r in big)
-        cuts = [i / most for i in range(1, most)]
-        borders = rows.where(F.col("entity").isin(heavy)).groupBy("entity").agg(F.percentile_approx("s", cuts, 1000).alias("borders"))
-        borders = spark.createDataFrame(borders.collect(), "entity string, borders array<bigint>")
-        at = F.when(F.col("borders").isNotNull(), F.size(F.filter("borders", lambda b: b <= F.col("s")))).otherwise(0)
-        sliced = rows.join(F.broadcast(borders), "entity", "left").select("entity", "s", "e", at.alias("slice"))
-        tops = sliced.where(F.col("entity").isin(heavy)).groupBy("entity", "slice").agg(F.max("e").alias("e")).collect()
-        seeds, reach = [], {}
-        for r in sorted(tops, key=lambda r: (r.entity, r.slice)):
-            if r.entity in reach:
-                seeds.append((r.entity, BEFORE, reach[r.entity], r.slice))
-            reach[r.entity] = max(r.e, reach.get(r.entity, r.e))
-        if seeds:
-            sliced = sliced.unionByName(spark.createDataFrame(seeds, "entity string, s bigint, e bigint, slice int"))
-    parts = sliced.repartition("entity", "slice").sortWithinPartitions("entity", "slice", "s").select("entity", "slice", "s", "e")
-    return parts.mapInArrow(_merge, FRAGMENT), heavy
-
-
-def gaps(rows: DataFrame, slice_rows: int = 250_000) -> DataFrame:
+def _begun(cut: DataFrame) -> DataFrame:
+    """The intervals of the large entities that do not go on from before, with the end before them as `prev`."""
+    return cut.withColumn("prev", F.greatest("prev", "reach")).where("prev is null or s > prev")
+
+
+def gaps(rows: DataFrame, slice_rows: int = 50_000) -> DataFrame:
     """Gaps between consecutive periods of spans(): entity, gap_start, gap_end in microseconds."""
-    merged, _ = fragments(rows, slice_rows)
-    return merged.where("prev is not null").select("entity", F.col("prev").alias("gap_start"), F.col("s").alias("gap_end"))
+    whole, cut = _split(rows, slice_rows)
+    named = ["entity", F.col("prev").alias("gap_start"), F.col("s").alias("gap_end")]
+    out = whole.where("prev is not null").select(*named)
+    return out if cut is None else out.unionAll(_begun(cut).where("prev is not null").select(*named))
 
 
-def periods(rows: DataFrame, slice_rows: int = 250_000) -> DataFrame:
+def periods(rows: DataFrame, slice_rows: int = 50_000) -> DataFrame:
     """Continuous periods of spans(): entity, period_start, period_end in microseconds."""
-    merged, heavy = fragments(rows, slice_rows)
-    whole = merged.select("entity", F.col("s").alias("period_start"), F.col("e").alias("period_end"))
-    if not heavy:
-        return whole
-    merged = written(merged, "fragments")
-    rest = merged.where(~F.col("entity").isin(heavy)).select("entity", F.col("s").alias("period_start"), F.col("e").alias("period_end"))
-    mine = merged.where(F.col("entity").isin(heavy))
-    last = mine.where(F.col("s") > BEFORE).groupBy("entity", "slice").agg(F.max("s").alias("s")).collect()  # one row per slice
-    starts: dict[str, list[tuple[int, int]]] = {}
-    for r in sorted(last, key=lambda r: (r.entity, r.slice)):
-        starts.setdefault(r.entity, []).append((r.slice, r.s))
-    carried = [
-        (entity, slice_nr, max(own, key=lambda x: x[0])[1])
-        for entity, by_slice in starts.items()
-        for slice_nr in range(max(x[0] for x in by_slice) + 2)
-        if (own := [x for x in by_slice if x[0] < slice_nr])
-    ]
-    cont = F.broadcast(rows.sparkSession.createDataFrame(carried, "entity string, slice int, began bigint"))
-    # a slice after the last one with a start of its own continues the same period
-    latest = F.broadcast(rows.sparkSession.createDataFrame([(e, max(s)[1]) for e, s in starts.items()], "entity string, latest bigint"))
-    joined = mine.join(cont, ["entity", "slice"], "left").join(latest, "entity", "left")
-    began = F.when(F.col("s") > BEFORE, F.col("s")).otherwise(F.coalesce("began", "latest"))
-    stitched = joined.select("entity", began.alias("period_start"), F.col("e").alias("period_end")).groupBy("entity", "period_start").agg(F.max("period_end").alias("period_end"))
-    return rest.unionAll(stitched)
+    whole, cut = _split(rows, slice_rows)
+    out = whole.select("entity", F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+    if cut is None:
+        return out
+    # a period ends where the next gap begins: in its own range, or in the next range that has a gap, or with the entity
+    begun = _begun(cut)
+    first = begun.groupBy("entity", "slice").agg(F.min("prev").alias("first_prev"))
+    every = cut.groupBy("entity", "slice").agg(F.max("e").alias("top")).join(first, ["entity", "slice"], "left")
+    later = Window.partitionBy("entity").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    after = every.select(
+        "entity", "slice", F.coalesce(F.last("first_prev", ignorenulls=True).over(later), F.max("top").over(Window.partitionBy("entity"))).alias("final")
+    )
+    within = begun.withColumn("next", F.lead("prev").over(Window.partitionBy("entity", "slice").orderBy("s")))
+    ends = within.join(after, ["entity", "slice"]).select("entity", F.col("s").alias("period_start"), F.coalesce("next", "final").alias("period_end"))
+    return out.unionAll(ends)
 
 
 def as_text(us: Column) -> Column:
@@ -175,4 +167,4 @@ def as_text(us: Column) -> Column:
     return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
 
 
-__all__ = ["IntervalMap", "as_text", "fragments", "gaps", "periods", "spans"]
+__all__ = ["IntervalMap", "as_text", "gaps", "periods", "spans"]

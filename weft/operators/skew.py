@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from math import ceil
-
-from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.plans.stage import counts_of, release, written
+
+#: Rows of a table of heavy groups: small enough to broadcast whatever the size of the data.
+MOST = 100_000
+
 
-def heavy_groups(counts: DataFrame, least: int, share: float = 0.001) -> tuple[list[Row], int]:
-    """(rows of counts, threshold): the groups whose `n` reaches the threshold, largest first.
+def heavy_groups(counts: DataFrame, keys: list[str], least: int, most: int = MOST) -> DataFrame | None:
+    """The columns of counts and `parts` for the groups with n >= least, as a written table; None if there are none.
 
-    The threshold is the larger of `least` and `share` of the sum of n, so however large the data is, at
-    most 1 / share groups reach it, and cutting each into parts of the threshold makes at most 2 / share parts.
+    parts cuts a group into pieces of about `least` rows, an absolute bound. The table has at most `most`
+    rows, the largest groups (ties by key), so it can be broadcast; nothing is collected. Only if more than
+    `most` groups reach `least` do some stay whole, and such a group has less than 1 / most of all rows.
     """
-    seen = Observation()  # the sum is taken on the way to the largest groups, in the same job
-    observed = counts.observe(seen, F.sum("n").alias("total"))
-    top = observed.where(F.col("n") >= least).orderBy(F.desc("n")).limit(ceil(1 / share)).collect()
-    if not top:
-        return [], least
-    least = max(least, ceil(share * seen.get["total"]))
-    return [r for r in top if r.n >= least], least
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), *keys).limit(most)
+    heavy = written(top.withColumn("parts", F.ceil(F.col("n") / least)), "heavy", groups=F.lit(1), parts=F.col("parts"))
+    if counts_of(heavy)["groups"]:
+        return heavy
+    release(heavy)
+    return None
+
+
+def part_of(heavy: DataFrame | None) -> int:
+    """How many parts the groups of heavy_groups() have in all."""
+    return counts_of(heavy)["parts"] if heavy is not None else 0
+
+
+def without(rows: DataFrame, heavy: DataFrame | None, keys: list[str]) -> DataFrame:
+    """rows of groups that are not heavy; not shuffled."""
+    return rows if heavy is None else rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+
+
+def salted(rows: DataFrame, heavy: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """rows of heavy groups with `salt`, from a hash of `by`, below the group's number of parts; not shuffled."""
+    mine = rows.join(F.broadcast(heavy.select(*keys, "parts")), keys)
+    return mine.withColumn("salt", F.pmod(by, F.col("parts")).cast("int")).drop("parts")
+
+
+def copied(other: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """The other side of a join with salted(): its rows of heavy groups, once for each salt."""
+    mine = other.join(F.broadcast(heavy.select(*keys, "parts")), keys)
+    return mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).drop("parts")

@@ -146,6 +146,18 @@ numbered as (
 periods as (select instance, nr, min(s) as period_start, max(e) as period_end from numbered group by all)
 """
 
+#: The statuses of fake_runs, as column names.
+_STATUSES = [
+    "none", "failed", "running", "success",
+    *(f"failed_e{i:03}" for i in range(1, 140)), *(f"running_step_{i}" for i in range(1, 60)), *(f"success_{c}{i}" for c in "wxyz" for i in range(1, 16)),
+]
+
+_WIDE = ", ".join(
+    f"""cast(count(*) filter (kind = '{k}') as bigint) as {k}_n, max(s) filter (kind = '{k}') as {k}_last,
+      coalesce(sum(greatest(epoch_us(e) - epoch_us(s), 0)) filter (kind = '{k}'), 0) / 1e6 as {k}_total_s"""
+    for k in _STATUSES
+)
+
 SQL: dict[str, str] = {
     "p1_found": _ORPHANS + "select distinct orderid, ref_field from found",
     "p1_orphans_by_month": _ORPHANS
@@ -186,12 +198,13 @@ from g where gap_end > gap_start and gap_end - gap_start <= interval 24 hours"""
     "p3_periods": _SPANS
     + """select instance, strftime(period_start, '%Y-%m-%d %H:%M:%S') as period_start,
          strftime(period_end, '%Y-%m-%d %H:%M:%S') as period_end from periods""",
-    "p4_features": r"""
+    "p4_features": rf"""
 with r as (
   select distinct on (instance, kind, coalesce(run_id, -nr)) * from (
-    select lower(trim(instance, E' \t\n\r\f\x0b ')) as instance,
-      regexp_replace(coalesce(nullif(lower(trim(status, E' \t\n\r\f\x0b ')), ''), 'none'), '[^a-z0-9]+', '_', 'g') as kind, run_id, start_time as s,
+    select lower(trim(instance, E' \t\n\r\f\x0b ')) as instance,
+      regexp_replace(coalesce(nullif(lower(trim(status, E' \t\n\r\f\x0b ')), ''), 'none'), '[^a-z0-9]+', '_', 'g') as kind, run_id, start_time as s,
       case when end_time < start_time then end_time + interval 1 day else end_time end as e, row_number() over () as nr
-    from fake_runs) where instance <> '')
-select * from (pivot r on kind using count(*) as n, max(s) as last, coalesce(sum(epoch_us(e) - epoch_us(s)), 0) / 1e6 as total_s group by instance)""",
+    from fake_runs) where instance <> ''
+  order by instance, kind, coalesce(run_id, -nr), s desc nulls last, greatest(epoch_us(e) - epoch_us(s), 0) desc)
+select instance, {_WIDE} from r group by instance""",
 }

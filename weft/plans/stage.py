@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     where = tempfile.mkdtemp(prefix="weft-")
     spark.sparkContext.setCheckpointDir(where)
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, **counted: Column) -> DataFrame:
     """df, computed once and read back from the shared folder.
 
-    counted: conditions by name; how many rows meet each is counted on the way and is in counts_of().
+    counted: conditions or numbers by name; how many rows meet each, or their sum, is taken on the way and is in counts_of().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft/{label}-{uuid.uuid4().hex}"
@@ -51,6 +53,17 @@ def counts_of(df: DataFrame) -> dict[str, int]:
     return df._weft_counts
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that operators write inside the block are deleted when it ends; run the actions on their results inside."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _delete(path)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     _delete(df._weft_path)
