@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from weft.operators.orphans import Reference, orphan_counts, orphan_references
+from weft.operators.orphans import Reference, orphan_counts, orphan_references, orphan_rows
 
 DAY = datetime(2021, 1, 1)
 FACT = "orderid bigint, productid string, ts timestamp_ntz, note string, begin string"
@@ -45,15 +45,26 @@ def test_heavy_and_light_keys_agree_with_brute_force(spark):
     dims = [(f"P{k}", at(s := rnd.randint(0, 60)), None if rnd.random() < 0.3 else at(s + rnd.randint(0, 40))) for k in range(1, 26) for _ in range(3)]
     want = {o for o, k, t in facts if not any(k == d and c <= t and (e is None or e > t) for d, c, e in dims)}
     f, refs = sides(spark, facts, dims)
-    for options in ({}, {"heavy_least": 100, "heavy_share": 0.05}, {"heavy_least": 100, "heavy_share": 0.05, "broadcast_rows": 0}):
+    # all groups by broadcast; the large ones by broadcast and the rest shuffled; all shuffled; large keys by salt
+    for options in ({}, {"heavy_rows": 20, "broadcast_rows": 40}, {"heavy_rows": 10**6, "broadcast_rows": 0}, {"heavy_rows": 20, "broadcast_rows": 3}):
         found = orphan_references(f, refs, "orderid", "ts", **options)
         assert {r.id for r in found.collect()} == want
         counts = orphan_counts(f, refs, "orderid", "ts", **options)
         assert sum(r.n_orphans for r in counts.collect()) == len(want)
 
 
-def test_heavy_keys_are_broadcast(spark):
-    f, refs = sides(spark, [(i, "P1", at(5)) for i in range(200)], [("P1", at(9), None)])
-    found = orphan_references(f, refs, "orderid", "ts", heavy_least=100, heavy_share=0.05)
+def test_a_hot_key_is_not_shuffled(spark):
+    facts = [(i, "P1", at(5 + i % 5)) for i in range(200)] + [(1000 + i, f"P{i}", at(5)) for i in range(2, 60)]
+    f, refs = sides(spark, facts, [("P1", at(7), None)])
+    found = orphan_rows(f, refs, "orderid", "ts", heavy_rows=100, broadcast_rows=20)
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
-    assert found.count() == 200
+    assert found.where("key = 'p1'").count() == 80 and found.count() == 138
+
+
+def test_ids_that_are_null_or_come_again(spark):
+    facts = [(None, "P9", at(5)), (None, "P8", at(6)), (1, "P9", at(5)), (1, "P8", at(6)), (1, "P9", at(40))]
+    f, refs = sides(spark, facts, [("P1", at(0), None)])
+    found = orphan_references(f, refs, "orderid", "ts").select("id", "key", "period")
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, "p8", DAY), (None, "p8", DAY)]
+    counts = {r.period: (r.n_orphans, r.n_keys) for r in orphan_counts(f, refs, "orderid", "ts").collect()}
+    assert counts == {DAY: (3, 2), datetime(2021, 2, 1): (1, 1)}

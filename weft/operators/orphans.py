@@ -1,32 +1,39 @@
 """References to records that do not exist, were deleted or came later.
 
-Skew-aware split: references are counted per key and period with map-side combine. Keys that hold
-more than a fixed share of all references (so a bounded number of keys) are checked against a
-broadcast of their own validity periods, without moving a reference; all other keys go through a
-shuffled anti join. The two results are united.
+Skew-aware split: references are counted per key and period with map-side combine, with the first and
+last time of each group. The groups are checked first: one whose times lie in a single validity period
+has no orphan, one that meets none has only orphans; references are looked at again only in the
+groups that are not free of them. They find their group by a broadcast of those groups, if these are at most
+broadcast_rows; otherwise only the largest groups are broadcast (broadcast_rows at most, so that no key
+is hot in what is left), and the references of all other groups go through a shuffled join. Within a
+group in which a record begins or ends each reference is anti-joined to the validity periods of its
+key, large keys by salt. The orphans of all parts are united.
 
 Defined cases: a null, empty or blank reference is no reference. A reference without time has no
 valid record and is an orphan. A dimension row without key or start is ignored; without end it is
 valid for good. Repeated dimension rows and overlapping validity periods are merged first (by the
-interval operator, which slices a key of very many periods). The same
-(id, field) is returned once, however often the fact was delivered. Empty facts give no rows; an
-empty dimension makes every reference an orphan. Extra columns on either side are never read.
+interval operator, which spreads a key of very many periods). The same (id, field) is returned once,
+however often the fact was delivered, with the smallest of its orphaned keys and periods; facts without
+id are one such fact. In the counts an id is one orphan per field and period, and every fact without id
+is one of its own. Empty facts give no rows; an empty dimension makes every reference an orphan. Extra
+columns on either side are never read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.keys import canonical_key
 from weft.operators.intervals import periods as continuous
-from weft.operators.skew import heavy_groups
-from weft.plans.stage import written
+from weft.operators.skew import copied, heavy_groups, salted, without
+from weft.plans.stage import counts_of, written
 
 FOREVER = "9999-12-31 00:00:00"
 SEPARATOR = "\x1f"
+KEY = ["ref_field", "key"]
 
 
 @dataclass(frozen=True)
@@ -68,106 +75,81 @@ def validity(refs: list[Reference]) -> DataFrame:
     return written(out, "validity")
 
 
-def per_period(rows: DataFrame, period: str) -> DataFrame:
+def per_period(rows: DataFrame) -> DataFrame:
     """References counted per field, key and period, with the first and last time in each."""
-    return rows.groupBy("ref_field", "key", F.date_trunc(period, F.col("ts")).alias("period")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")
+    return rows.groupBy(*KEY, "period").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+
+
+def _judged(groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """The groups that are not free of orphans: field, key, period, n, and `met` where only some references may be orphans."""
+    known = periods.select(*(F.col(c).alias(f"p_{c}") for c in periods.columns))
+    meets = (F.col("ref_field") == F.col("p_ref_field")) & (F.col("key") == F.col("p_key")) & (F.col("begin") <= F.col("high")) & (F.col("finish") > F.col("low"))
+    known = known.withColumnsRenamed({"p_begin": "begin", "p_finish": "finish"})
+    verdict = groups.join(known, meets, "left").groupBy(*KEY, "period").agg(
+        F.max("n").alias("n"),
+        F.max(F.col("begin").isNotNull()).alias("met"),
+        F.coalesce(F.max((F.col("begin") <= F.col("low")) & (F.col("finish") > F.col("high"))), F.lit(False)).alias("covered"),
     )
+    return verdict.where("not covered").drop("covered")
 
 
-def heavy_keys(counts: DataFrame, share: float, least: int) -> list[tuple[str, str]]:
-    """Keys of at least `least` references and of `share` of all; there are at most 1 / share of them."""
-    by_key = counts.groupBy("ref_field", "key").agg(F.sum("n").alias("n"))
-    return [(r.ref_field, r.key) for r in heavy_groups(by_key, least, share)[0]]
+def _in_groups(rows: DataFrame, groups: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows of one of the groups (left_anti: of none), by field, key and period (null is a period)."""
+    own = groups.select(*(F.col(c).alias(f"g_{c}") for c in (*KEY, "period")))
+    same = (F.col("ref_field") == F.col("g_ref_field")) & (F.col("key") == F.col("g_key")) & F.col("period").eqNullSafe(F.col("g_period"))
+    return rows.join(own, same, how)
 
 
-def _is_heavy(heavy: list[tuple[str, str]]) -> Column:
-    test = F.lit(False)
-    for field in sorted({f for f, _ in heavy}):
-        test = test | ((F.col("ref_field") == field) & F.col("key").isin([k for f, k in heavy if f == field]))
-    return test
+def _without_record(rows: DataFrame, periods: DataFrame, *salt: str) -> DataFrame:
+    """rows whose time is in no validity period of their key."""
+    own = periods.select(*(F.col(c).alias(f"v_{c}") for c in periods.columns))
+    valid = (F.col("v_begin") <= F.col("ts")) & (F.col("v_finish") > F.col("ts"))
+    for c in (*KEY, *salt):
+        valid = valid & (F.col(c) == F.col(f"v_{c}"))
+    return rows.join(own, valid, "left_anti")
 
 
-def _without_record(rows: DataFrame, periods: DataFrame) -> DataFrame:
-    valid = (rows.ref_field == periods.ref_field) & (rows.key == periods.key) & (periods.begin <= rows.ts) & (periods.finish > rows.ts)
-    return rows.join(periods, valid, "left_anti")
-
-
-def _split(rows: DataFrame, periods: DataFrame, heavy: list[tuple[str, str]], broadcast_rows: int) -> DataFrame:
-    """rows without a valid record: heavy keys by broadcast, the rest by a shuffled anti join."""
-    if not heavy:
-        return _without_record(rows, periods)
-    known = periods.where(_is_heavy(heavy))
-    light = _without_record(rows.where(~_is_heavy(heavy)), periods.where(~_is_heavy(heavy)))
-    if known.limit(broadcast_rows + 1).count() > broadcast_rows:  # the bound is proven before anything is broadcast
-        return light.unionAll(_without_record(rows.where(_is_heavy(heavy)), known))
-    return light.unionAll(_without_record(rows.where(_is_heavy(heavy)), F.broadcast(known)))
-
-
-def orphan_references(
-    facts: DataFrame,
-    refs: list[Reference],
-    id_col: str,
-    time_col: str,
-    period: str = "month",
-    heavy_share: float = 0.002,
-    heavy_least: int = 20_000,
-    broadcast_rows: int = 50_000,
-) -> DataFrame:
-    """Every (id, ref_field) whose key has no valid record at the fact's time, with key and period."""
-    rows = references(facts, id_col, time_col, refs)
-    heavy = heavy_keys(per_period(rows, period), heavy_share, heavy_least)
-    found = _split(rows, validity(refs), heavy, broadcast_rows)
-    return (
-        found.withColumn("period", F.date_trunc(period, F.col("ts")))
-        .groupBy("id", "ref_field")
-        .agg(F.min("key").alias("key"), F.min("period").alias("period"))
-    )
-
-
-def orphan_counts(
-    facts: DataFrame,
-    refs: list[Reference],
-    id_col: str,
-    time_col: str,
-    period: str = "month",
-    heavy_share: float = 0.002,
-    heavy_least: int = 20_000,
-    broadcast_rows: int = 50_000,
+def orphan_rows(
+    facts: DataFrame, refs: list[Reference], id_col: str, time_col: str, period: str = "month", heavy_rows: int = 20_000, broadcast_rows: int = 50_000
 ) -> DataFrame:
-    """Orphans per field and period: ref_field, period, n_orphans, n_keys.
-
-    Works on the pre-aggregated (field, key, period) groups: a group whose whole time range lies in one
-    validity period has no orphan, one that meets no validity period has only orphans; the rows are
-    looked at again only for groups in which a record begins or ends. Facts are counted once per id.
-    """
-    columns = list(dict.fromkeys([id_col, time_col, *(r.field for r in refs)]))
-    rows = references(facts.select(*columns).dropDuplicates([id_col]), id_col, time_col, refs)
-    groups = per_period(rows, period)
-    heavy = heavy_keys(groups, heavy_share, heavy_least)
+    """id, ts, ref_field, key, period of every reference without a valid record, repeated deliveries too."""
+    rows = references(facts, id_col, time_col, refs).withColumn("period", F.date_trunc(period, F.col("ts")))
+    groups = written(per_period(rows), "groups")
     periods = validity(refs)
+    suspect = written(_judged(groups, periods), "suspect", groups=F.lit(1), met=F.col("met"))
+    counts = counts_of(suspect)
+    if counts["groups"] <= broadcast_rows:
+        found = _in_groups(rows, F.broadcast(suspect))
+    else:
+        heavy = heavy_groups(groups, [*KEY, "period"], heavy_rows, broadcast_rows)
+        if heavy is None:
+            found = _in_groups(rows, suspect)
+        else:  # heavy has at most broadcast_rows rows, so have the suspects among them
+            clear = _in_groups(heavy, suspect)
+            cold = _in_groups(rows, F.broadcast(heavy), "left_anti")
+            found = _in_groups(cold, suspect).unionAll(_in_groups(rows, F.broadcast(clear)))
+    if not counts["met"]:
+        return found
+    known = written(periods.join(suspect.where("met").select(*KEY).distinct(), KEY, "left_semi"), "known", periods=F.lit(1))
+    if counts_of(known)["periods"] <= broadcast_rows:
+        return _without_record(found, F.broadcast(known))
+    large = heavy_groups(suspect.groupBy(*KEY).agg(F.sum("n").alias("n")), KEY, heavy_rows)
+    if large is None:
+        return _without_record(found, known)
+    hot = _without_record(salted(found, large, KEY, F.xxhash64("id", "ts")), copied(known, large, KEY), "salt")
+    return _without_record(without(found, large, KEY), known).unionByName(hot.drop("salt"))
+
+
+def orphan_references(facts: DataFrame, refs: list[Reference], id_col: str, time_col: str, period: str = "month", **bounds: int) -> DataFrame:
+    """Every (id, ref_field) whose key has no valid record at the fact's time, with key and period."""
+    found = orphan_rows(facts, refs, id_col, time_col, period, **bounds)
+    return found.groupBy("id", "ref_field").agg(F.min("key").alias("key"), F.min("period").alias("period"))
 
-    def judged(part: DataFrame, known: DataFrame) -> DataFrame:
-        meets = (part.ref_field == known.ref_field) & (part.key == known.key) & (known.begin <= part.high) & (known.finish > part.low)
-        return (
-            part.join(known, meets, "left")
-            .groupBy(part.ref_field, part.key, part.period)
-            .agg(
-                F.max(part.n).alias("n"),
-                F.max(known.begin.isNotNull()).alias("met"),
-                F.max((known.begin <= part.low) & (known.finish > part.high)).alias("covered"),
-            )
-        )
 
-    if heavy:
-        known = periods.where(_is_heavy(heavy))
-        if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            known = F.broadcast(known)
-        verdict = judged(groups.where(_is_heavy(heavy)), known).unionAll(judged(groups.where(~_is_heavy(heavy)), periods.where(~_is_heavy(heavy))))
-    else:
-        verdict = judged(groups, periods)
-    whole = verdict.where(~F.coalesce("met", F.lit(False))).select("ref_field", "key", "period", "n")
-    mixed = verdict.where(F.col("met") & ~F.coalesce("covered", F.lit(False)))
-    again = rows.withColumn("period", F.date_trunc(period, F.col("ts"))).join(mixed.select("ref_field", "key", "period"), ["ref_field", "key", "period"], "left_semi")
-    rest = _split(again, periods, heavy, broadcast_rows).groupBy("ref_field", "key", "period").agg(F.count(F.lit(1)).alias("n"))
-    return whole.unionAll(rest).groupBy("ref_field", "period").agg(F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_keys"))
+def orphan_counts(facts: DataFrame, refs: list[Reference], id_col: str, time_col: str, period: str = "month", **bounds: int) -> DataFrame:
+    """Orphans per field and period: ref_field, period, n_orphans, n_keys; facts are counted once per id."""
+    found = orphan_rows(facts, refs, id_col, time_col, period, **bounds)
+    each = found.groupBy("ref_field", "period").agg(
+        F.count_distinct("id").alias("ids"), F.count(F.when(F.col("id").isNull(), 1)).alias("no_id"), F.count_distinct("key").alias("n_keys")
+    )
+    return each.select("ref_field", "period", (F.col("ids") + F.col("no_id")).alias("n_orphans"), "n_keys")
