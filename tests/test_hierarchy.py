@@ -42,7 +42,9 @@ def check(spark, pairs):
             assert r.n_descendants == len(below[x])
         if key is not None:
             assert r.n_descendants is None
-    assert {r.id: r.cycle_key for r in cycles(edges(spark, pairs)).collect()} == {x: k for x, (_, k) in want.items() if k is not None}
+    for finish_rows in (0, 30, 10_000):
+        found = cycles(edges(spark, pairs), finish_rows=finish_rows)
+        assert {r.id: r.cycle_key for r in found.collect()} == {x: k for x, (_, k) in want.items() if k is not None}
     assert {(r.ancestor, r.descendant, r.distance) for r in descendants(nodes).collect()} == {
         (a, x, len(p) - 1 - i) for x, (p, _) in want.items() if p for i, a in enumerate(p[:-1])
     }
@@ -68,3 +70,11 @@ def test_random_forests_with_chains_stars_and_cycles(spark, seed):
     pairs += [(200 + i, 200 + (i + 1) % 17) for i in range(17)]  # a long cycle
     pairs += [(300 + i, rnd.choice([None, *range(0, 40), *range(200, 217), *range(300, 300 + i)])) for i in range(60)]
     check(spark, pairs)
+
+
+def test_hubs_in_and_outside_the_table(spark):
+    pairs = [(1, None), *((i, 1) for i in range(2, 60)), *((i, 99) for i in range(100, 160)), (200, 5), (201, 120), (202, 201)]
+    got = {r.id: r for r in hierarchy(edges(spark, pairs), hub_rows=20).collect()}
+    assert len(got) == len(pairs) and got[1].n_descendants == 59
+    assert got[200].path == [1, 5, 200] and got[202].path == [120, 201, 202] and got[202].root == 120 and got[202].depth == 2
+    assert {x for x, r in got.items() if r.missing_parent} == set(range(100, 160))
