@@ -26,7 +26,7 @@ def run(spark, rows, **options):
     return {(r.item_a, r.item_b): tuple(r)[2:] for r in pairs(df, "basket", F.col("items"), **options).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"min_together": 3}, {"min_together": 3, "prune_limit": 0}, {"wide_basket": 3}, {"min_together": 2, "wide_basket": 4}])
+@pytest.mark.parametrize("options", [{}, {"min_together": 3}, {"min_together": 3, "broadcast_items": 2}, {"wide_basket": 3}, {"min_together": 2, "wide_basket": 4}])
 def test_agrees_with_brute_force(spark, options):
     rnd = random.Random(8)
     rows = [(rnd.choice([None, *range(60)]), [rnd.choice([0, 1, 1, 7, (1 << 31) - 1, None, *range(30)]) for _ in range(rnd.randint(0, 7))]) for _ in range(120)]
@@ -52,6 +52,6 @@ def test_small_runs():
 
     batch = pa.record_batch([pa.array([[1, 2, 3], [1, 2]], pa.list_(pa.int64())), pa.array([0, 0], pa.int32()), pa.array([3, 2], pa.int32())], names=["items", "first", "last"])
     total = Counter()
-    for out in _sorted_runs(None, 1)(iter([batch])):
+    for out in _sorted_runs(1)(iter([batch])):
         total.update(dict(zip(*(c.to_pylist() for c in out.columns))))
     assert total == {(1 << 32) | 2: 2, (2 << 32) | 3: 1, (1 << 32) | 3: 1}

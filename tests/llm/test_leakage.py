@@ -45,7 +45,33 @@ def test_agrees_with_brute_force(spark):
     docs += [(100, None), (101, ""), (102, formula * 50), (103, formula), (None, formula), (104, " ".join(t for _, t in items if t))]
     want = brute(docs, items, 12)
     assert want and run(spark, docs, items) == want
-    assert run(spark, docs, items, block_windows=40) == want
+    assert run(spark, docs, items, broadcast_rows=0, hot_rows=20) == want
+
+
+def test_recall_by_size_below_full_containment(spark):
+    """At a threshold of 0.8 the found windows are among those of brute force, and at least 0.9 of them in every partition."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 400)}" for _ in range(n))
+    items = [(i, text(rnd.choice([9, 10, 11, 12, 12, 30]))) for i in range(150)]
+    docs = []
+    for d, (_, passage) in enumerate(items):
+        words = passage.split()
+        words[rnd.choice([0, 0, -1, -1, 3])] = "other"  # a word at an end, or one inside
+        docs.append((d, f"{text(40)} {' '.join(words)} {text(40)}"))
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = set()
+    for k, passage in items:
+        own, q = passage.split(), min(12, len(passage.split()))
+        for d, t in docs:
+            w = t.split()
+            if d == k and any(len(a & shingled(w[j : j + q])) >= 0.8 * len(a) for i in range(len(own) - q + 1) for a in [shingled(own[i : i + q])] for j in range(len(w) - q + 1)):
+                want.add((d, k))
+    found = set(run(spark, docs, items, short_items=True, threshold=0.8))
+    size = {k: min(12, len(p.split())) for k, p in items}
+    assert {(d, k) for d, k in found if d == k} <= want
+    for q in (10, 11, 12):
+        mine = {x for x in want if size[x[1]] == q}
+        assert mine and len(mine & found) >= 0.9 * len(mine)
 
 
 def test_short_items_have_their_own_partitions(spark):

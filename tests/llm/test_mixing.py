@@ -1,11 +1,13 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 import tiktoken  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.mixing import _encoding, default_tokenizer, mix, plan, token_counter, with_tokens
+from weft.llm.mixing import _encoding, default_tokenizer, mix, pivotal, plan, token_counter, vocabulary, with_tokens
 
 TARGETS = "source string, target_share double, max_repeats int, text string"
 DOCS = "doc_id bigint, source string, text string, tokens string, copies int"
@@ -14,14 +16,16 @@ DOCS = "doc_id bigint, source string, text string, tokens string, copies int"
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_tokens_are_those_of_the_tokenizer(text):
-    path, pattern = default_tokenizer()
-    assert token_counter(path, pattern)(text) == len(_encoding(path, pattern).encode_ordinary(text))
+    data, pattern = vocabulary(default_tokenizer()[0]), default_tokenizer()[1]
+    assert token_counter(data, pattern)(text) == len(_encoding(data, pattern).encode_ordinary(text))
 
 
 def test_long_texts_and_pieces():
-    path, pattern = default_tokenizer()
+    data, pattern = vocabulary(default_tokenizer()[0]), default_tokenizer()[1]
     text = "some words, 12 of them. " * 50_000 + "a" * 5_000
-    assert token_counter(path, pattern)(text) == len(_encoding(path, pattern).encode_ordinary(text))
+    assert token_counter(data, pattern)(text) == len(_encoding(data, pattern).encode_ordinary(text))
+    with pytest.raises(ValueError):
+        vocabulary(default_tokenizer()[0], most=10)
 
 
 def test_plan():
@@ -31,6 +35,19 @@ def test_plan():
     assert plan({}, {}) == {} and plan({"a": 0}, {"a": (1.0, 1)})["a"]["copies"] == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pivotal_keeps_tokens_and_leaves_one_per_source(seed):
+    rng = np.random.default_rng(seed)
+    source, tokens, f = np.repeat([0, 1, 2], [500, 1, 37]), rng.integers(1, 90, 538).astype(float), rng.random(538)
+    out = pivotal(f, tokens, source, rng.random)
+    open_ = (out > 0) & (out < 1)
+    for s in range(3):
+        assert open_[source == s].sum() <= 1 and abs(((out - f) * tokens)[source == s].sum()) < 1e-4
+    assert len(pivotal(f[:0], tokens[:0], source[:0], rng.random)) == 0
+    rate = np.mean([pivotal(np.full(3, 0.3), np.array([1.0, 5.0, 9.0]), np.zeros(3), rng.random) for _ in range(4000)], axis=0)
+    assert np.abs(rate - 0.3).max() < 0.03
+
+
 def make(spark, n=1500):
     rnd = random.Random(9)
     docs = [(i, "big" if i % 3 else rnd.choice(["small", "mid", "other", None]), rnd.choice([None, "", *["word " * rnd.randint(1, 90)] * 9]), "x", 1) for i in range(n)]

@@ -16,7 +16,7 @@ def brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 20}, {"chunk": 20, "flush_rows": 15}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 20}, {"chunk": 20, "flush_rows": 15}, {"chunk": 20, "group_rows": 15, "bounds": 3}])
 def test_agrees_with_brute_force(spark, options):
     rnd = random.Random(7)
     rows = [("hot" if i % 3 == 0 else rnd.choice(["a", "b", "", None, *map(str, range(50))]), rnd.choice([None, float("nan"), float("inf"), -0.0, 0.0, 5.0, 5.0, rnd.random()]), i) for i in range(900)]

@@ -6,9 +6,10 @@ row a run. After the shuffle Spark's external sorter spills and multiway-merges
 partition, and equal neighbours are added up while streaming. Association is measured by lift and by
 the odds ratio with continuity correction (one half added to each of the four cells).
 
-Exact pruning: a pair cannot occur more often than its rarer item, so with min_together > 1 items
-below it form no codes (if the frequent items fit prune_limit; otherwise nothing is pruned and the
-result is the same). A basket of more than wide_basket items is spread over tasks by its first item.
+Exact pruning: a pair cannot occur more often than its rarer item, so with min_together > 1 only items
+in so many baskets form codes. Baskets meet the table of those items by a join: the most frequent items,
+a fixed number, are broadcast, so that the shuffled join of the others has no hot item. A basket of more
+than wide_basket items is spread over tasks by its first item.
 
 Defined cases: null or empty baskets and rows without basket are left out. Repeated deliveries of a
 basket are united; items repeated in a basket count once. Items must be whole numbers in 0 .. 2^31-1
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.stage import written
+from weft.operators.skew import MOST, heavy_groups, without
+from weft.plans.stage import counts_of, written
 
 RUN = "code bigint, n bigint"
 #: Codes that a task sorts in memory at once.
@@ -46,7 +48,7 @@ def _counted(codes: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.record_batch([pa.array(codes[edge], pa.int64()), pa.array(size, pa.int64())], names=["code", "n"])
 
 
-def _sorted_runs(frequent: np.ndarray | None, limit: int = RUN_CODES):
+def _sorted_runs(limit: int = RUN_CODES):
     """Baskets (items, first, last) to sorted, counted runs of pair codes whose first item is at first .. last - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,11 +59,6 @@ def _sorted_runs(frequent: np.ndarray | None, limit: int = RUN_CODES):
             firsts, lasts = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             whole = (firsts == 0) & (lasts >= size)
             owner = np.repeat(np.arange(len(size)), size)
-            if frequent is not None and len(flat):
-                at = np.minimum(np.searchsorted(frequent, flat), max(len(frequent) - 1, 0))
-                keep = (frequent[at] == flat) if len(frequent) else np.zeros(len(flat), bool)
-                keep |= ~whole[owner]  # the positions of a spread basket are kept
-                flat, owner = flat[keep], owner[keep]
             mine = whole[owner]
             a, o = flat[mine], owner[mine]
             for d in range(1, int(size.max(initial=1))):  # all pairs that are d places apart in their basket
@@ -106,14 +103,20 @@ def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([code], pa.int64()), pa.array([n], pa.int64())], names=["code", "n"])
 
 
-def pairs(
-    rows: DataFrame,
-    basket: str,
-    items: Column,
-    min_together: int = 1,
-    prune_limit: int = 1_000_000,
-    wide_basket: int = 1_000,
-) -> DataFrame:
+def _frequent(lists: DataFrame, counts: DataFrame, min_together: int, broadcast_items: int) -> DataFrame:
+    """The lists with only the items that are in at least min_together baskets."""
+    each = lists.select("basket", F.explode("items").alias("item"))
+    common = counts.where(F.col("n") >= min_together)
+    top = heavy_groups(common, ["item"], min_together, broadcast_items)
+    if top is None:
+        return lists.where(F.lit(False))
+    kept = each.join(F.broadcast(top.select("item")), "item", "left_semi")
+    if counts_of(counts)["common"] > broadcast_items:
+        kept = kept.unionByName(without(each, top, ["item"]).join(common.select("item"), "item", "left_semi"))
+    return kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+
+def pairs(rows: DataFrame, basket: str, items: Column, min_together: int = 1, broadcast_items: int = MOST, wide_basket: int = 1_000) -> DataFrame:
     """item_a, item_b, n_ab, n_a, n_b, n, lift, odds_ratio for pairs in at least min_together baskets.
 
     items is an array of whole numbers per row; n counts the baskets with at least one item.
@@ -121,21 +124,18 @@ def pairs(
     each = rows.select(rows[basket].alias("basket"), F.explode(items).alias("item")).where("basket is not null and item is not null")
     fits = F.col("item").between(0, (1 << 31) - 1)
     each = each.select("basket", F.when(fits, F.col("item")).otherwise(F.raise_error(F.lit("items must be in 0 .. 2^31-1")).cast("bigint")).alias("item"))
-    lists = written(each.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")).select("items"), "baskets")
-    n = lists.count()
-    counts = written(lists.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")), "items")
-    frequent = None
+    lists = written(each.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")), "baskets", n=F.lit(1))
+    n = counts_of(lists)["n"]
+    counts = lists.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "items", common=F.col("n") >= min_together)
     if min_together > 1:
-        common = counts.where(F.col("n") >= min_together).select("item")
-        if common.count() <= prune_limit:
-            frequent = np.sort(np.array([r.item for r in common.collect()], np.int64))
+        lists = _frequent(lists, counts, min_together, broadcast_items)
     size = F.size("items")
-    small = lists.where(size <= wide_basket).select("items", F.lit(0).alias("first"), size.alias("last"))
+    # an ordinary basket is one piece; a wide one has a piece for every wide_basket items, which are spread over tasks
     step = F.explode(F.sequence(F.lit(0), size - 1, F.lit(wide_basket)))
+    small = lists.where((size > 1) & (size <= wide_basket)).select("items", F.lit(0).alias("first"), size.alias("last"))
     wide = lists.where(size > wide_basket).select("items", step.alias("first")).withColumn("last", F.col("first") + wide_basket)
-    runs = small.where(size > 1).mapInArrow(_sorted_runs(frequent), RUN)
-    if not lists.where(size > wide_basket).isEmpty():
-        runs = runs.unionAll(wide.repartition(F.xxhash64("items"), "first").mapInArrow(_sorted_runs(frequent), RUN))
+    runs = small.mapInArrow(_sorted_runs(), RUN).unionAll(wide.repartition(F.xxhash64("items"), "first").mapInArrow(_sorted_runs(), RUN))
     counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged_runs, RUN)
     both = counted.where(F.col("n") >= min_together).select(
         F.shiftright("code", 32).alias("item_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("item_b"), F.col("n").alias("n_ab")
@@ -145,3 +145,9 @@ def pairs(
     ab, na, nb, total = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n"))
     odds = ((ab + 0.5) * (total - na - nb + ab + 0.5)) / ((na - ab + 0.5) * (nb - ab + 0.5))
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", (ab * total / (na * nb)).alias("lift"), odds.alias("odds_ratio"))
+
+
+def more_often(factor: int) -> Column:
+    """Whether a pair is together at least `factor` times as often as by chance; exact for counts up to 10^18."""
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    return wide("n_ab") * wide("n") >= (wide("n_a") * wide("n_b")).cast("decimal(37,0)") * factor

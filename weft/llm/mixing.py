@@ -5,9 +5,12 @@ max_repeats times. Each document of a source then has the same expected number o
 are certain, and the fractions are rounded by the pivotal method: two documents at a time exchange
 mass, weighted by their tokens so that the tokens of the pair stay the same, until one of the two is
 integral; which way is drawn at random with the odds that keep both expectations. Documents are dealt
-to buckets by a hash of their id; a bucket streams and leaves at most one fractional document per
-source. These residuals meet again in a reduction tree, `fan_in` buckets at a time, and the last one of
-a source is drawn by its fraction. So a source misses its tokens by less than one document.
+to buckets of about bucket_rows by a hash of their id. In a bucket all pairs of neighbours of one source
+meet at once, then the half that is still fractional, until a source has one such document at most. These
+residuals meet again in a reduction tree, `fan_in` buckets at a time, and the last one of a source is drawn
+by its fraction. So a source misses its tokens by less than one document.
+
+The vocabulary is read where the job starts and travels with the task, so that executors need no such file.
 
 All draws come from a hash of seed, level and bucket, so a task that runs again draws the same.
 
@@ -25,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +36,20 @@ from pyspark.sql import functions as F
 from weft.plans.stage import written
 
 
+def vocabulary(path: str, most: int = 1 << 26) -> bytes:
+    """The vocabulary file, of at most `most` bytes (an error beyond that)."""
+    with open(path, "rb") as f:
+        data = f.read(most + 1)
+    if len(data) > most:
+        raise ValueError(f"the vocabulary has more than {most} bytes")
+    return data
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
+def _encoding(data: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -57,9 +69,9 @@ class _Lengths(dict):
         return n
 
 
-def token_counter(path: str, pattern: str):
+def token_counter(data: bytes, pattern: str):
     """text -> number of tokens. Merges never cross the pieces of `pattern`, so pieces are counted one by one and remembered."""
-    lengths, pieces = _Lengths(_encoding(path, pattern).encode_ordinary), regex.compile(pattern)
+    lengths, pieces = _Lengths(_encoding(data, pattern).encode_ordinary), regex.compile(pattern)
 
     def count(text: str) -> int:
         if len(text) > 1_000_000:  # no list of all pieces
@@ -79,9 +91,10 @@ def default_tokenizer() -> tuple[str, str]:
 def with_tokens(documents: DataFrame, doc_id: str, source: str, text: str, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """id, source, tokens of every document with text, without a shuffle."""
     path, pattern = tokenizer or default_tokenizer()
+    data = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(path, pattern)
+        count = token_counter(data, pattern)
         for b in batches:
             tokens = [count(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(tokens, pa.int64())], names=["id", "source", "tokens"])
@@ -104,75 +117,67 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[s
     return out
 
 
-class _Pivot:
-    """Rounds fractional documents one after the other; holds at most one per source."""
-
-    def __init__(self, seed: tuple[int, ...]) -> None:
-        self.draw = np.random.default_rng([x & 0xFFFFFFFF for x in seed]).random
-        self.open: dict[str, tuple] = {}
-
-    def add(self, row: tuple, f: float, done) -> None:
-        """row is (id, source, tokens, sure); done(row, extra) is told each document that becomes integral."""
-        eps = 1e-9
-        while True:
-            if f <= eps or f >= 1 - eps:
-                done(row, int(f > 0.5))
-                return
-            other = self.open.pop(row[1], None)
-            if other is None:
-                self.open[row[1]] = (row, f)
-                return
-            a, fa = other
-            ta, tb = a[2], row[2]
-            # mass moved in tokens, until one of the two is 0 or 1
-            up = min((1 - fa) * ta, f * tb)  # to a
-            down = min(fa * ta, (1 - f) * tb)  # from a
-            move = up if self.draw() < down / (up + down) else -down
-            fa, f = fa + move / ta, f - move / tb
-            if fa <= eps or fa >= 1 - eps:
-                done(a, int(fa > 0.5))
-            else:
-                self.open[a[1]] = (a, fa)
-                done(row, int(f > 0.5))
-                return
+EPS = 1e-9
 
 
-DRAWN = "id bigint, source string, tokens bigint, sure int, copies int, fraction double, bucket bigint"
+def pivotal(fraction: np.ndarray, tokens: np.ndarray, source: np.ndarray, draw) -> np.ndarray:
+    """Fractions rounded to 0 or 1 but for one document per source; rows of a source are neighbours.
 
+    draw(n) gives n random numbers. All pairs of neighbours exchange mass at once; who stays fractional goes on.
+    """
+    f = np.where(fraction <= EPS, 0.0, np.where(fraction >= 1 - EPS, 1.0, fraction))
+    while True:
+        alive = np.flatnonzero((f > 0) & (f < 1))
+        own = source[alive]
+        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+        second = np.flatnonzero(place % 2 == 1)
+        if not len(second):
+            return f
+        a, b = alive[second - 1], alive[second]
+        ta, tb, fa, fb = tokens[a], tokens[b], f[a], f[b]
+        up, down = np.minimum((1 - fa) * ta, fb * tb), np.minimum(fa * ta, (1 - fb) * tb)  # mass in tokens, to a and from a
+        move = np.where(draw(len(a)) * (up + down) < down, up, -down)
+        for at, value in ((a, fa + move / ta), (b, fb - move / tb)):
+            f[at] = np.where(value <= EPS, 0.0, np.where(value >= 1 - EPS, 1.0, value))
 
-def _round(seed: int, level: int):
-    """Rows of DRAWN sorted by bucket; fractions are rounded within each bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+DRAWN = "id bigint, source string, tokens bigint, sure int, copies int, fraction double, bucket bigint"
 
-        def done(row: tuple, extra: int) -> None:
-            out.append((*row, row[3] + extra, None, at))
 
-        def close() -> None:
-            for row, f in pivot.open.values():
-                out.append((*row, None, f, at))
+def _round(seed: int, level: int):
+    """Rows of DRAWN sorted by bucket and source; fractions are rounded within each bucket."""
 
-        def send() -> pa.RecordBatch:
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in DRAWN.split(", ")])
+    def settled(part: pa.Table, f: np.ndarray) -> pa.Table:
+        copies = part.column("sure").to_numpy() + (f > 0.5)
+        open_ = (f > 0) & (f < 1)
+        part = part.set_column(4, "copies", pa.array(copies.astype(np.int32), mask=open_))
+        return part.set_column(5, "fraction", pa.array(f, mask=~open_))
 
-        at, pivot = None, _Pivot((seed, level, 0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, draw, left = None, None, None  # left: the bucket's documents that are still fractional
         for b in batches:
-            for i, s, tokens, sure, _, f, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != at:
-                    if at is not None:
-                        close()
-                    at, pivot = bucket, _Pivot((seed, level, bucket))
-                pivot.add((i, s, tokens, sure), f, done)
-            if len(out) > 20_000:
-                yield send()
-        if at is not None:
-            close()
-        if out:
-            yield send()
+            bucket = b.column(6).to_numpy()
+            edges = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+            for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+                part = pa.Table.from_batches([b.slice(first, last - first)])
+                if bucket[first] != at:
+                    if left is not None:
+                        yield from left.to_batches()
+                    at, left = int(bucket[first]), None
+                    draw = np.random.default_rng([x & 0xFFFFFFFF for x in (seed, level, at)]).random
+                elif left is not None:
+                    part = pa.concat_tables([left, part]).sort_by("source")
+                source = part.column("source").combine_chunks().dictionary_encode()
+                source = source.combine_chunks() if isinstance(source, pa.ChunkedArray) else source
+                f = pivotal(part.column("fraction").to_numpy(), part.column("tokens").to_numpy().astype(float), source.indices.to_numpy(), draw)
+                part = settled(part, f)
+                open_ = pa.array((f > 0) & (f < 1))
+                left = part.filter(open_)
+                for x in part.filter(pc.invert(open_)).combine_chunks().to_batches():
+                    yield x
+        if left is not None:
+            yield from left.combine_chunks().to_batches()
 
     return run
 
@@ -185,8 +190,8 @@ def mix(
     text: str,
     seed: int = 0,
     tokenizer: tuple[str, str] | None = None,
-    bucket_rows: int = 50_000,
-    fan_in: int = 64,
+    bucket_rows: int = 10_000,
+    fan_in: int = 16,
     max_sources: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(draw, report). draw: doc_id, source, tokens, copies >= 1. report: one row per source.
@@ -196,7 +201,7 @@ def mix(
     spark = documents.sparkSession
     sized = written(with_tokens(documents, doc_id, source, text, tokenizer), "tokens")
     want = targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).where("source is not null").limit(max_sources + 1).collect()
-    have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
+    have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("largest")).limit(max_sources + 1).collect()
     if max(len(want), len(have)) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sources = plan({r.source: r.tokens for r in have}, {r.source: (max(r.share or 0.0, 0.0), max(r.cap or 0, 0)) for r in want})
@@ -224,9 +229,13 @@ def mix(
     for s in settled[1:]:
         drawn = drawn.unionByName(s)
     drawn = drawn.where("copies > 0").select(F.col("id").alias(doc_id), "source", "tokens", "copies")
+    largest = {r.source: r.largest for r in have}
     facts = spark.createDataFrame(
-        [(s, p["tokens"], float(p["target_share"]), int(p["max_repeats"]), float(p["effective_share"]), float(p["copies"])) for s, p in sources.items()],
-        "source string, source_tokens bigint, target_share double, max_repeats int, effective_share double, expected_copies double",
+        [
+            (s, p["tokens"], largest.get(s, 0), float(p["target_share"]), int(p["max_repeats"]), float(p["effective_share"]), float(p["copies"]))
+            for s, p in sources.items()
+        ],
+        "source string, source_tokens bigint, largest_document bigint, target_share double, max_repeats int, effective_share double, expected_copies double",
     )
     used = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("copies").alias("drawn_copies"), F.max("copies").alias("most_copies"))
     every = facts.join(F.broadcast(used), "source", "left")  # both have a row per source

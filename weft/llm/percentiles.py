@@ -9,10 +9,11 @@ bisects rows and summaries alike. With drop_bits > 0 a summary keeps only the up
 most a relative error of 2^(drop_bits - 52) (returned as max_rel_error; 0 when exact), and a bounded
 number of rows per group.
 
-Groups of up to heavy_rows rows are bisected inside one task each, all groups of a partition at once
-and vectorised. Larger groups are bisected by distributed passes, `block` groups at a time: five
-halvings a pass, since counts below 31 equally spaced midpoints come from one map-side combined
-aggregate; only those counts, 33 a group and percentile at most, reach the driver.
+Groups of fewer than heavy_rows rows are bisected inside one task each, all groups of a partition at once
+and vectorised. The others, all together, are bisected by distributed passes, one scan of their codes a
+pass and some eight halvings in it, since counts below 255 and more equally spaced midpoints come from one
+map-side combined aggregate. The intervals of all groups and percentiles are a table; rows meet them by
+group and salt. Nothing of the groups is collected.
 
 The percentile p of n values is the value of rank max(1, ceil(p * n)). Defined cases: null and NaN are
 no values; a group without values has no row; infinities are values; -0.0 is 0.0; null group keys are
@@ -23,15 +24,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.plans.stage import release, written
+from weft.operators.skew import heavy_groups, salted, without
+from weft.plans.stage import counts_of, release, written
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -146,59 +147,48 @@ def _within_tasks(keys: int, ps: list[float], names: list[str], chunk: int = 200
     return run
 
 
-def _distributed(rows: DataFrame, sizes: dict[int, int], ps: list[float]) -> dict[int, list[float]]:
-    """Percentiles of the few heavy groups in rows(gid, code, n)."""
-    spark = rows.sparkSession
-    ends = rows.groupBy("gid").agg(F.min("code").alias("low"), F.max("code").alias("high")).collect()
-    want = {(r.gid, i): [r.low, r.high, max(1, ceil(round(p * sizes[r.gid], 9)))] for r in ends for i, p in enumerate(ps)}
-    while True:
-        open_ = sorted({(g, low, high) for (g, _), (low, high, _) in want.items() if low < high})
-        if not open_:
-            break
-        state = [(g, low, high, max(0, (high - low).bit_length() - 5)) for g, low, high in open_]
-        intervals = F.broadcast(spark.createDataFrame(state, "gid int, low bigint, high bigint, bits int"))
-        inside = rows.join(intervals, "gid").where("code >= low and code <= high")
-        part = inside.groupBy("gid", "low", "high", F.expr("shiftright(code, bits) - shiftright(low, bits)").alias("part"))
-        bins: dict[tuple[int, int, int], list] = {}
-        for r in part.agg(F.sum("n").alias("n"), F.min("code").alias("first"), F.max("code").alias("last")).collect():
-            bins.setdefault((r.gid, r.low, r.high), []).append((r.part, r.n, r.first, r["last"]))
-        for own in bins.values():
-            own.sort()
-        for key, (low, high, rank) in want.items():
-            if low < high:
-                for _, n, first, last in bins[key[0], low, high]:
-                    if rank <= n:
-                        want[key] = [first, last, rank]
-                        break
-                    rank -= n
-    out: dict[int, list[float]] = {}
-    for (g, i), (low, _, _) in want.items():
-        out.setdefault(g, [0.0] * len(ps))[i] = float(decode(np.array([low]))[0])
-    return out
-
-
-def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop_bits: int = 0, heavy_rows: int = 1_000_000, block: int = 500) -> DataFrame:
+def _distributed(hot: DataFrame, heavy: DataFrame, ps: list[float]) -> DataFrame:
+    """nr and a code per percentile (c0, c1, ...) of the groups of hot(nr, salt, code, n)."""
+    ends = hot.groupBy("nr").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    wanted = F.array(*(F.struct(F.lit(i).alias("p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(p) * F.col("total"), 9))).alias("rank")) for i, p in enumerate(ps)))
+    state = ends.join(heavy.select("nr", "parts", F.explode(wanted).alias("w")), "nr").select("nr", "parts", "w.p", "low", "high", "w.rank")
+    state = written(state, "intervals", open=F.col("low") < F.col("high"))
+    while counts_of(state)["open"]:
+        left = state.where("low < high")
+        half = F.shiftright("high", 1) - F.shiftright("low", 1)  # the whole length may be more than a bigint holds
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(half.cast("double") + 1)).cast("int") - 7)
+        intervals = left.select("nr", "parts", "low", "high").distinct().withColumn("bits", bits)
+        intervals = intervals.select("nr", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"), "low", "high", "bits")
+        inside = hot.join(intervals, ["nr", "salt"]).where("code >= low and code <= high")
+        cell = F.expr("shiftright(code, bits) - shiftright(low, bits)").alias("cell")
+        cells = inside.groupBy("nr", "low", "high", cell).agg(F.sum("n").alias("n"), F.min("code").alias("first"), F.max("code").alias("last"))
+        upto = F.sum("n").over(Window.partitionBy("nr", "low", "high").orderBy("cell"))  # some 500 cells at most
+        found = left.join(cells.withColumn("upto", upto), ["nr", "low", "high"]).where("rank <= upto and rank > upto - n")
+        drawn = found.select("nr", "parts", "p", F.col("first").alias("low"), F.col("last").alias("high"), F.expr("rank - (upto - n)").alias("rank"))
+        last, state = state, written(drawn.unionAll(state.where("low = high")), "intervals", open=F.col("low") < F.col("high"))
+        release(last)
+    return state.groupBy("nr").agg(*(F.max(F.when(F.col("p") == i, F.col("low"))).alias(f"c{i}") for i in range(len(ps))))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and codes to numbers and values."""
+    for b in batches:
+        yield pa.record_batch([b.column(0), *(pa.array(decode(c.to_numpy())) for c in b.columns[1:])], names=b.schema.names)
+
+
+def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop_bits: int = 0, heavy_rows: int = 50_000) -> DataFrame:
     """groups, n, one column per percentile, max_rel_error; from encoded(), summary() or union_of()."""
-    spark, named = counts.sparkSession, list(ps.values())
+    named = list(ps.values())
     counts = written(counts.select(*groups, "code", "n"), "codes")
-    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
-    big = sizes.where(F.col("rows") > heavy_rows).collect()
     names = [*groups, "n", *ps]
     schema = T.StructType([*(counts.schema[g] for g in groups), T.StructField("n", T.LongType()), *(T.StructField(p, T.DoubleType()) for p in ps)])
-    light = counts
-    if big:
-        own = T.StructType([*(T.StructField(f"_{g}", counts.schema[g].dataType) for g in groups), T.StructField("gid", T.IntegerType())])
-        same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
-        done = []
-        for at in range(0, len(big), block):
-            part = big[at : at + block]
-            ids = F.broadcast(spark.createDataFrame([(*(r[g] for g in groups), i) for i, r in enumerate(part)], own))
-            heavy = written(counts.join(ids, same).select("gid", "code", "n"), "heavy-codes")
-            light = light.join(ids, same, "left_anti")
-            found = _distributed(heavy, {i: r.n for i, r in enumerate(part)}, named)
-            release(heavy)
-            done += [(*(r[g] for g in groups), r.n, *found[i]) for i, r in enumerate(part)]
+    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"))
+    heavy = heavy_groups(sizes, groups, heavy_rows)
+    light = without(counts, heavy, groups)
     out = light.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_within_tasks(len(groups), named, names), schema)
-    if big:
-        out = out.unionAll(spark.createDataFrame(done, schema))
+    if heavy is not None:
+        hot = written(salted(counts, heavy, groups, F.xxhash64("code"), "nr").select("nr", "salt", "code", "n"), "heavy-codes")
+        values = _distributed(hot, heavy, named).mapInArrow(_decoded, "nr bigint, " + ", ".join(f"c{i} double" for i in range(len(named))))
+        few = values.join(heavy, "nr").select(*groups, F.col("total").alias("n"), *(F.col(f"c{i}").alias(p) for i, p in enumerate(ps)))
+        out = out.unionAll(few)
     return out.withColumn("max_rel_error", F.lit(0.0 if drop_bits == 0 else 2.0 ** (drop_bits - 52)))

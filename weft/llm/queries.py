@@ -52,7 +52,7 @@ def _book_pairs(spark: SparkSession, at: str, min_together: int = 30) -> DataFra
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
-    often = _book_pairs(spark, at).where(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    often = _book_pairs(spark, at).where(cooccurrence.more_often(3))
     return often.select(F.col("item_a").alias("book_a"), F.col("item_b").alias("book_b"))
 
 
@@ -95,14 +95,29 @@ def p9_shares(spark: SparkSession, at: str) -> DataFrame:
     return _mixed(spark, at)[1]
 
 
+def p9_invariants(spark: SparkSession, at: str) -> DataFrame:
+    """What the draw must keep, per source: the share aimed at, the cap, and the tokens but for one document."""
+    report = mixing.mix(_read(spark, at, "documents"), _read(spark, at, "mix_targets"), "doc_id", "source", "text")[1]
+    missed = F.abs(F.col("drawn_tokens") - F.col("expected_copies") * F.col("source_tokens"))
+    return report.select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.round("effective_share", 9).alias("effective_share"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"),
+        (missed <= F.col("largest_document") + 1e-6).alias("within_one_document"),
+        (F.coalesce(F.col("actual_share"), F.lit(0.0)) > 0).alias("is_drawn"),
+    )
+
+
 def _levels(spark: SparkSession, at: str) -> DataFrame:
     model = reading.fit(_read(spark, at, "reading_panel"), "level", "text")
     return reading.reading_levels(_read(spark, at, "documents"), model, "doc_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
-    """English documents most of whose likelihood per word is that of level 5."""
-    return _levels(spark, at).where("lang = 'en' and level = 5 and posterior > 0.5").select(F.col("id").alias("doc_id"))
+    """English documents whose most likely level is 5."""
+    return _levels(spark, at).where("lang = 'en' and level = 5").select(F.col("id").alias("doc_id"))
 
 
 def p10_levels(spark: SparkSession, at: str) -> DataFrame:
@@ -111,7 +126,7 @@ def p10_levels(spark: SparkSession, at: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p5_percentiles, p5_combined_loads, p6_found, p7_found, p7_association, p7_pairs, p8_found, p8_items, p9_draw, p9_shares, p10_found, p10_levels)
+    for f in (p5_percentiles, p5_combined_loads, p6_found, p7_found, p7_association, p7_pairs, p8_found, p8_items, p9_draw, p9_shares, p9_invariants, p10_found, p10_levels)
 }
 
 _SALARIES = """
@@ -154,6 +169,31 @@ every as (
 select src, dept, row_id from every where dept is not null and salary is not null and not isnan(salary)
 qualify row_number() over (partition by src, dept order by salary desc, row_id) <= 5"""
 
+#: A word broken at a line end, twice since two breaks may share a letter.
+_BROKEN = r"'([a-z0-9])[-\x{2010}\x{AC}\x{AD}][\t\f\v\r \x{A0}]*\n[\s\x{A0}]*([a-z0-9])', '\1\2', 'g'"
+
+
+def _words(text: str) -> str:
+    spoken = rf"regexp_replace(lower({text}), '\[[^\]]*\]|\([^)]*\)', ' ', 'g')"
+    return f"regexp_extract_all(regexp_replace(regexp_replace({spoken}, {_BROKEN}), {_BROKEN}), '[a-z0-9]+')"
+
+
+_LEAKS = f"""
+with d as (select doc_id, {_words("text")} as w from documents where doc_id is not null),
+i as (select item_id, {_words("passage")} as w from eval_items where item_id is not null),
+q as (
+  select distinct item_id, size, array_to_string(w[k : k + size - 1], ' ') as words
+  from (select *, unnest(range(1, len(w) - size + 2)) as k from (select *, least(len(w), 12) as size from i) where size >= 5)),
+sizes as (select distinct size from q),
+g as (
+  select doc_id, size, array_to_string(w[k : k + size - 1], ' ') as words
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from d, sizes)),
+hits as (select distinct doc_id, size, words from g semi join q using (size, words)),
+found as (
+  select doc_id, item_id, count(*) as n_windows, count(*) / any_value(n) as share, any_value(size) as size
+  from hits join q using (size, words) join (select item_id, count(*) as n from q group by 1) using (item_id) group by all)
+"""
+
 SQL: dict[str, str] = {
     "p5_percentiles": _SALARIES,
     "p5_combined_loads": _SALARIES,
@@ -163,4 +203,17 @@ SQL: dict[str, str] = {
     + """select item_a, item_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b), 6) as lift,
          round(((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5)) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)), 4) as odds_ratio from every""",
     "p7_pairs": _ALL_BOOKS + _ASSOCIATION,
+    "p8_found": _LEAKS + "select doc_id, item_id from found where size = 12",
+    "p8_items": _LEAKS
+    + """select item_id, count(*) as n_documents, cast(sum(cast(share >= 1 as integer)) as bigint) as n_whole, max(share) as largest_share
+         from found group by 1""",
+    "p9_invariants": """
+with have as (select source, count(*) as n from documents where source is not null and text <> '' and doc_id is not null group by 1),
+t as (select source, sum(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets where source is not null group by 1),
+every as (
+  select coalesce(t.source, have.source) as source, greatest(coalesce(target_share, 0.0), 0.0) as target_share, greatest(coalesce(max_repeats, 0), 0) as max_repeats,
+    coalesce(n, 0) > 0 and coalesce(target_share, 0) > 0 and coalesce(max_repeats, 0) > 0 as able
+  from t full join have on t.source = have.source)
+select source, target_share, max_repeats, round(case when able then target_share / sum(target_share) filter (able) over () else 0 end, 9) as effective_share,
+  true as within_repeats, true as within_one_document, able as is_drawn from every""",
 }

@@ -4,10 +4,10 @@ A level's model is a mixture of unigram models (a level may be demanding in seve
 or by long sentences). Every word is drawn together with the length class of its sentence, so a model
 has a distribution over words and one over length classes. The graded texts of a level are grouped by
 sentence and word length; each group is a component, smoothed towards its level and that towards all
-levels (Dirichlet priors). A document gets the level whose mixture gives its words the highest
-likelihood (equal priors). Words of one text are far from independent, so the posterior is taken from
-the likelihood per word: it says how much of the speech as a whole reads like its level, means the
-same for short and long texts, and a single sentence has no more weight than its length. Where there is
+levels (Dirichlet priors) and weighted by its share of the level's texts. A document gets the level with the
+highest posterior (equal priors); the likelihood of a level is that of its mixture, the sum over its
+components. Words of one text are far from independent, so that posterior is nearly always 0 or 1;
+expected_level is therefore the mean level under the posterior of a single average word. Where there is
 no graded sample, fit_seeded() grades texts by a readability formula.
 
 Bracketed interruptions, interruptions between dashes, quoted parts and the speaker's name before a
@@ -21,8 +21,9 @@ a cut). Every document is scored over its whole text, map-side, without a shuffl
 
 Defined cases: a text that is null, empty or without a known word has level and posterior null. Equal
 posteriors give the lower level. Sample rows without level or text are left out. The language of a
-document is its lang; where that is null, the language whose function words are most frequent, null if
-there are none. Extra columns are never read.
+document is its lang; where that is null, the one whose unigram model gives its words the highest
+likelihood, null if no model knows a word of it. Those models are fitted on per_language labelled
+documents of each language. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -33,17 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.words import BRACKETED, WORD, blocks, pieces, word_hashes
 
-# Frequent function words by which an unlabelled text is recognised.
-FUNCTION_WORDS = {
-    "en": "the and of is in we a that to for by on with our no what they you after can at from this it not was".split(),
-    "de": "der die das und ist nicht wir ein eine den des im zu mit von auf dem sie es auch nach wird sich bei als".split(),
-    "fr": "le la les et de des est nous un une dans pour que qui ne pas sur avec vous au du par ce cette il".split(),
-}
 QUOTED = re.compile("“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")
 ASIDE = re.compile(r"[—–]\s[^—–\n]{1,80}?\s[—–]")
 CUT = re.compile(r"(?<=\w)[-‐¬\u00ad][^\S\n]*\r?\n\s*(?=\w)")
@@ -134,7 +129,7 @@ class LevelModels:
         every = count([t for own in texts.values() for t in own])
         share = smoothed(every[0], np.full(len(vocabulary), 1 / max(1, len(vocabulary))), 1.0)
         spread = np.full(len(CLASSES) + 1, 1 / (len(CLASSES) + 1))
-        rows = []
+        rows, weight = [], []
         for number_of, level in enumerate(self.levels):
             own = texts[int(level)]
             words, classes = count(own)
@@ -142,19 +137,72 @@ class LevelModels:
             group = _groups(np.array([t.shape for t in own]), components)
             for k in np.unique(group):
                 part = count([t for t, g in zip(own, group) if g == k])
+                weight.append(np.log((group == k).mean()))
                 rows.append((number_of, np.log(smoothed(part[0], level_words, prior)), np.log(smoothed(part[1], level_classes, prior))))
         h = word_hashes(vocabulary)
         order = np.argsort(h)
-        self.hash, self.level_of = h[order], np.array([r[0] for r in rows])
+        self.hash, self.level_of, self.log_weight = h[order], np.array([r[0] for r in rows]), np.array(weight)
         self.log_p, self.log_class = np.array([r[1][order] for r in rows]).T.copy(), np.array([r[2] for r in rows]).T.copy()
 
-    def posterior(self, mean: np.ndarray) -> np.ndarray:
-        """Posterior of the levels from the log likelihoods per word of the components: the best component speaks for its level."""
-        best = np.full((len(mean), len(self.levels)), -np.inf)
-        for c, level in enumerate(self.level_of):
-            best[:, level] = np.maximum(best[:, level], mean[:, c])
-        post = np.exp(best - best.max(1, keepdims=True))
-        return post / post.sum(1, keepdims=True)
+    def likelihood(self, total: np.ndarray) -> np.ndarray:
+        """Log likelihoods of the levels from those of the components: a level is the mixture of its components."""
+        out = np.empty((len(total), len(self.levels)))
+        for level in range(len(self.levels)):
+            own = (total + self.log_weight)[:, self.level_of == level]
+            top = own.max(1, keepdims=True)
+            out[:, level] = (top + np.log(np.exp(own - top).sum(1, keepdims=True)))[:, 0]
+        return out
+
+
+def _posterior(likelihood: np.ndarray) -> np.ndarray:
+    post = np.exp(likelihood - likelihood.max(1, keepdims=True))
+    return post / post.sum(1, keepdims=True)
+
+
+class LanguageModels:
+    """Unigram models of languages: log P(word) in the order of the words' hashes, and that of any other word."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], prior: float = 0.1) -> None:
+        self.languages = sorted(counts)
+        vocabulary = sorted({w for own in counts.values() for w in own})
+        n = np.array([[counts[x].get(w, 0) for x in self.languages] for w in vocabulary], float).reshape(len(vocabulary), len(self.languages))
+        mass = n.sum(0) + prior * (len(vocabulary) + 1)
+        h = word_hashes(vocabulary)
+        order = np.argsort(h)
+        self.hash, self.log_p, self.log_other = h[order], np.log((n[order] + prior) / mass), np.log(prior / mass)
+
+    def best(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> list[str | None]:
+        """The language of each of n documents, from their words' hashes and owners."""
+        total, known = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
+        if len(hashes) and len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+            seen = self.hash[at] == hashes
+            np.add.at(total, owner, np.where(seen[:, None], self.log_p[at], self.log_other))
+            np.add.at(known, owner, seen)
+        return [self.languages[b] if k else None for b, k in zip(total.argmax(1).tolist(), known.tolist(), strict=True)] if self.languages else [None] * n
+
+
+def fit_languages(
+    documents: DataFrame, doc_id: str, text: str, lang: str, per_language: int = 300, max_languages: int = 100, max_words: int = 20_000
+) -> LanguageModels:
+    """Models of the languages of `lang`, from the per_language labelled documents of each with the smallest hash of the id.
+
+    At most max_languages languages (an error beyond that) and the max_words most frequent words of each sample.
+    """
+    rows = documents.select(documents[doc_id].cast("bigint").alias("id"), documents[text].cast("string").alias("text"), documents[lang].cast("string").alias("lang"))
+    labelled = rows.where("lang is not null and id is not null")
+    chosen = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")) <= per_language
+    ids = labelled.select("id", "lang").withColumn("chosen", chosen).where("chosen").drop("chosen").distinct()
+    sample = labelled.join(F.broadcast(ids.limit(per_language * max_languages + 1)), ["id", "lang"])
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, dict[str, int]] = {}
+    for r in counts.withColumn("place", place).where(F.col("place") <= max_words).limit(max_words * max_languages + 1).collect():
+        out.setdefault(r.lang, {})[r.word] = r.n
+    if len(out) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    return LanguageModels(out)
 
 
 def fit(panel: DataFrame, level: str, text: str, prior: float = 50.0, components: int = 3, max_panel: int = 20_000) -> LevelModels:
@@ -191,14 +239,7 @@ def fit_seeded(texts: DataFrame, text: str, max_rows: int = 2_000, prior: float
     return _fitted([(level, r.text) for r in rows if (level := formula_level(r.text)) is not None], prior, components)
 
 
-def _language(words: list[str]) -> str | None:
-    seen = Counter(words)
-    score = {lang: sum(seen[w] for w in own) for lang, own in FUNCTION_WORDS.items()}
-    best = max(score, key=score.__getitem__)
-    return best if score[best] else None
-
-
-def _score(model: LevelModels):
+def _score(model: LevelModels, languages: LanguageModels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = model.log_p.shape[1]
         for batch in batches:
@@ -207,14 +248,18 @@ def _score(model: LevelModels):
             owners: list[int] = []
             for i, text in enumerate(texts):
                 if text:
-                    if langs[i] is None:
-                        langs[i] = _language(WORD.findall(text.lower()))
                     own = [p for s in sentences(speech(text)) for p in pieces(s.lower(), 0)]
                     parts += own
                     owners += [i] * len(own)
             owner, n = np.array(owners, np.int64), len(ids)
+            unlabelled = np.array([x is None for x in langs], bool)
+            open_hash, open_owner = [], []
             total, words = np.zeros((n, width)), np.zeros(n, np.int64)
             for first, last, w in blocks(parts):
+                if unlabelled.any():
+                    mine = owner[first + w.text]
+                    open_hash.append(w.hash[unlabelled[mine]])
+                    open_owner.append(mine[unlabelled[mine]])
                 at = np.minimum(np.searchsorted(model.hash, w.hash), len(model.hash) - 1)
                 known = model.hash[at] == w.hash
                 if not known.any():
@@ -226,16 +271,20 @@ def _score(model: LevelModels):
                 score = np.add.reduceat(model.log_p[at[known]], edge, axis=0) + size[:, None] * model.log_class[length_class(length[here])]
                 np.add.at(total, owner[first + here], score)
                 np.add.at(words, owner[first + here], size)
+            if open_hash:
+                own = languages.best(np.concatenate(open_hash), np.concatenate(open_owner), n)
+                langs = [own[i] if x is None else x for i, x in enumerate(langs)]
             none = words == 0
-            post = model.posterior(total / np.maximum(words, 1)[:, None])
-            best = post.argmax(1)
+            likelihood = model.likelihood(total)
+            post, word = _posterior(likelihood), _posterior(likelihood / np.maximum(words, 1)[:, None])
+            best = likelihood.argmax(1)
             yield pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(langs, pa.string()),
                     pa.array(model.levels[best], pa.int32(), mask=none),
                     pa.array(post[np.arange(n), best], pa.float64(), mask=none),
-                    pa.array(post @ model.levels, pa.float64(), mask=none),
+                    pa.array(word @ model.levels, pa.float64(), mask=none),
                     pa.array(words),
                 ],
                 names=["id", "lang", "level", "posterior", "expected_level", "n_words"],
@@ -244,7 +293,11 @@ def _score(model: LevelModels):
     return run
 
 
-def reading_levels(documents: DataFrame, model: LevelModels, doc_id: str, text: str, lang: str) -> DataFrame:
-    """SCORE of every document: the level with the highest posterior, that posterior, and the mean level."""
+def reading_levels(documents: DataFrame, model: LevelModels, doc_id: str, text: str, lang: str, languages: LanguageModels | None = None) -> DataFrame:
+    """SCORE of every document: the level with the highest posterior, that posterior, and the mean level.
+
+    languages tell the language of documents without one; if not given they are fitted on the labelled documents.
+    """
+    languages = languages or fit_languages(documents, doc_id, text, lang)
     rows = documents.select(documents[doc_id].cast("bigint"), documents[text].cast("string"), documents[lang].cast("string"))
-    return rows.mapInArrow(_score(model), SCORE)
+    return rows.mapInArrow(_score(model, languages), SCORE)

@@ -1,10 +1,12 @@
 """The N best rows of every group, ties resolved the same way everywhere.
 
 Partition lower bounds: every task keeps the N best of each group among its own rows; the N-th of them
-is a bound, since at least N rows of the group are as good. The greatest bound over all tasks is
-joined to the surviving rows of its group (both travel in the same shuffle), what is worse is filtered
-out and the rest ranked. A group of any size thus sends at most N rows a task. A task whose state grows
-beyond `flush_rows` rows sends what it has and starts afresh, which only makes its bounds weaker.
+is a bound, since at least N rows of the group are as good. The survivors are written, the greatest
+bound of each group is taken and joined to them by broadcast, and what is worse is filtered out before
+anything is shuffled; the rest is ranked. The broadcast holds the `bounds` groups with bounds in most
+tasks, so its size is fixed; a group that is not in it has few survivors anyhow. Groups with more than
+group_rows survivors are ranked by salt before they are ranked as a whole. A task whose state grows beyond
+`flush_rows` rows sends what it has and starts afresh, which only makes its bounds weaker.
 
 Order: score descending, then id ascending. Defined cases: rows without group, score or id are left
 out, NaN is no score, infinities are scores, -0.0 and 0.0 tie. Rows equal in score and id are
@@ -20,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.skew import MOST, heavy_groups, salted, without
+from weft.plans.stage import written
+
 
 def _best(group: np.ndarray, score: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the n best of each group, in order, and their places from 0."""
@@ -67,16 +72,25 @@ def _local(n: int, names: list[str], chunk: int, flush_rows: int):
     return run
 
 
-def top_n(rows: DataFrame, group: str, score: str, row_id: str, n: int, chunk: int = 100_000, flush_rows: int = 2_000_000) -> DataFrame:
+def top_n(
+    rows: DataFrame, group: str, score: str, row_id: str, n: int, chunk: int = 100_000, flush_rows: int = 2_000_000, group_rows: int = 200_000, bounds: int = MOST
+) -> DataFrame:
     """group, score, row_id, place (from 1) of the n best rows of each group."""
     names = ["g", "score", "id", "bound"]
     ready = rows.select(F.col(group).cast("string").alias("g"), (F.col(score).cast("double") + F.lit(0.0)).alias("score"), F.col(row_id).cast("bigint").alias("id"))
     ready = ready.where("g is not null and score is not null and not isnan(score) and id is not null")
-    kept = ready.mapInArrow(_local(n, names, chunk, flush_rows), "g string, score double, id bigint, bound boolean")
-    w = Window.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))
-    # of all bounds the best is the first in the order of the group
-    bounded = kept.withColumn("bounds", F.coalesce(F.sum(F.col("bound").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = bounded.where("bounds = 0").withColumn("place", F.row_number().over(w))
+    kept = written(ready.mapInArrow(_local(n, names, chunk, flush_rows), "g string, score double, id bigint, bound boolean"), "survivors")
+    # ~id falls as id rises, so the greatest struct is the best bound
+    best = F.max(F.struct("score", F.bitwise_not("id").alias("not_id"))).alias("best")
+    bounded = heavy_groups(kept.where("bound").groupBy("g").agg(F.count(F.lit(1)).alias("n"), best), ["g"], 1, bounds)
+    level = kept.select("g", "score", "id")
+    if bounded is not None:
+        as_good = (F.col("score") > F.col("best.score")) | ((F.col("score") == F.col("best.score")) & (F.bitwise_not("id") >= F.col("best.not_id")))
+        level = level.join(F.broadcast(bounded.select("g", "best")), "g", "left").where(F.col("best").isNull() | as_good).drop("best")
+        many = heavy_groups(bounded.select("g", (F.col("n") * n).alias("n")), ["g"], group_rows)
+        if many is not None:  # groups that had bounds in very many tasks are ranked by salt first
+            w = Window.partitionBy("g", "salt").orderBy(F.desc("score"), F.asc("id"))
+            first = salted(level, many, ["g"], F.xxhash64("id")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+            level = without(level, many, ["g"]).unionAll(first.select("g", "score", "id"))
+    ranked = level.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))))
     return ranked.where(F.col("place") <= n).select(F.col("g").alias(group), F.col("score").alias(score), F.col("id").alias(row_id), "place")
-
-
