@@ -108,5 +108,10 @@ def number_or_null(c: Column, t: T.DataType) -> Column:
     return F.when(~F.isnan(c), c) if is_float(t) else c
 
 
+def complement(c: Column) -> Column:
+    """A text whose order is the reverse of the order of c by code point."""
+    return F.concat(F.translate(F.hex(F.encode(c, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def collated(c: Column, t: T.DataType, locale: bool) -> Column:
     return F.collate(c, "UNICODE") if locale and isinstance(t, T.StringType) else c

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from typing import TYPE_CHECKING
+from collections.abc import Sequence
+from functools import reduce
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from weft.expr import collated, is_float, is_number, number_or_null
 from weft.naming import TableError, existing, fresh, quoted
-from weft.specs import BEGINNING, END, Agg, Dedup, GroupBy, Window, WindowFunction
+from weft.specs import BEGINNING, END, WHOLE, Agg, Dedup, GroupBy, Window, WindowFunction
 
 if TYPE_CHECKING:
     from weft.table import Table
@@ -64,7 +67,7 @@ def _first_row(order: list[tuple[str, bool]]) -> list[tuple[Column, bool]]:
     if len(order) == 1:
         o, down = order[0]
         return [(F.max(o) if down else F.min(o), down)]
-    rising = [F.col(o) for o, d in order if not d]  # falling keys are strings; see Table._ordered
+    rising = [F.col(o) for o, d in order if not d]  # falling keys are text in locale order; see Table._ordered
     return [(F.min(F.struct(*rising)), False)] if rising else []
 
 
@@ -81,16 +84,23 @@ def group_by(t: Table, spec: GroupBy, locale: bool = False) -> Table:
         if a.column is not None:
             existing([a.column], t.columns)
         fresh(a.alias, t.columns)
-        out.append(_aggregate(a, types, t._order, locale).alias(a.alias))
+        if a.kind != "customPandas":
+            out.append(_aggregate(a, types, t._order, locale).alias(a.alias))
     keys = [F.col(quoted(c)) for c in spec.columns]
     firsts = [(c.alias(f"__f{i}"), f"__f{i}", d) for i, (c, d) in enumerate(_first_row(t._order))]
     df = t._df.groupBy(*keys).agg(*out, *(c for c, _, _ in firsts)) if out or firsts else t._df.select(*keys).distinct()
-    for a in spec.aggs:
-        if a.kind == "customPandas":
-            df = df.withColumn(a.alias, _over_lists(*a.extra)(F.col(a.alias)))
+    pandas = [a for a in spec.aggs if a.kind == "customPandas"]
+    if pandas:
+        own = t._df.groupBy(*keys).agg(*(_over_series(a, t._order) for a in pandas)).toDF(*(f"__{i}" for i in range(len(keys))), *(a.alias for a in pandas))
+        df = df.join(own, _same_keys(spec.columns), "left")
     return Table._ordered(df, [*spec.columns, *(a.alias for a in spec.aggs)], [(F.col(n), d) for _, n, d in firsts])
 
 
+def _same_keys(columns: Sequence[str]) -> Column:
+    """The columns agree with __0, __1, ...; null is a value."""
+    return reduce(lambda a, b: a & b, (F.col(quoted(c)).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns)))
+
+
 def _aggregate(a: Agg, types: dict[str, T.DataType], order: list[tuple[str, bool]], locale: bool) -> Column:
     if a.kind == "collectList":
         return _in_order(a.column, order)
@@ -98,20 +108,22 @@ def _aggregate(a: Agg, types: dict[str, T.DataType], order: list[tuple[str, bool
         return a.extra(_in_order(a.column, order))
     if a.kind == "custom":
         return a.extra(F.col(quoted(a.column)))
-    if a.kind == "customPandas":  # the list of values; group_by() applies the function
-        return _in_order(a.column, order)
     return _value(a.kind, a.column, types.get(a.column), locale)
 
 
-def _over_lists(of, returns: str):
-    """A pandas UDF that applies `of` to each array of a column, as a Series."""
+def _over_series(a: Agg, order: list[tuple[str, bool]]) -> Column:
+    """A pandas aggregate that gets the group's values as a Series, in table order."""
     import pandas as pd
 
-    def run(lists: pd.Series) -> pd.Series:
-        return pd.Series([of(pd.Series(x)) for x in lists])
+    of, returns = a.extra
+    rising = [not d for _, d in order]
+
+    def run(values: pd.Series, *keys: pd.Series) -> Any:
+        place = pd.concat([k.reset_index(drop=True) for k in keys], axis=1, keys=range(len(keys)))
+        at = place.sort_values(list(range(len(keys))), ascending=rising, na_position="first", kind="stable").index
+        return of(values.reset_index(drop=True).iloc[at].reset_index(drop=True))
 
-    run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, returns)
+    return F.pandas_udf(run, returns, PandasUDFType.GROUPED_AGG)(F.col(quoted(a.column)), *(F.col(o) for o, _ in order)).alias(a.alias)
 
 
 def _frame(f: WindowFunction, base, order_columns: list[str]):
@@ -146,6 +158,8 @@ def window(t: Table, spec: Window, locale: bool = False) -> Table:
             existing([f.column], columns)
         if f.kind == "customPartition":
             df = _per_partition(df, f, partition, directed)
+        elif f.kind == "customFrame" and f.frame == WHOLE:
+            df = _over_whole(df, f, partition, [*keys, *ties])
         elif f.kind in ("rank", "dense_rank"):
             df = _ranked(df, f, base, [k.column for k in spec.order.keys])
         else:
@@ -179,15 +193,34 @@ def _function(df: DataFrame, f: WindowFunction, w, base, spec: Window, locale: b
         return F.last(c).over(framed)
     if f.kind == "nth":
         return F.nth_value(c, f.extra + 1).over(framed)
+    if f.kind == "customFramePandas":
+        return _framed_pandas(*f.extra)(c).over(framed)
     if f.kind in ("collectList", "customFrame"):
         values = F.transform(F.collect_list(F.struct(c.alias("v"))).over(framed), lambda e: e["v"])
         return values if f.kind == "collectList" else f.extra(values)
-    if f.kind in ("max", "min") and locale and isinstance(t, T.StringType):
-        raise TableError("locale order is not available over frames")
     if f.kind == "sum":
         whole = isinstance(t, (T.IntegralType, T.DecimalType))
         return F.coalesce(F.sum(_number("sum", f.column, t)).over(framed), F.lit(0 if whole else 0.0))
-    return _value(f.kind, f.column, t, False).over(framed)
+    return _value(f.kind, f.column, t, locale).over(framed)
+
+
+def _framed_pandas(of, returns: str):
+    import pandas as pd
+
+    def run(values: pd.Series) -> Any:
+        return of(values)
+
+    return F.pandas_udf(run, returns, PandasUDFType.GROUPED_AGG)
+
+
+def _over_whole(df: DataFrame, f: WindowFunction, partition: list[str], order: list[tuple[Column, bool]]) -> DataFrame:
+    """A frame function over whole partitions: computed once for each and joined to its rows."""
+    keyed = df.select("*", *(c.alias(f"__w{i}") for i, (c, _) in enumerate(order)))
+    value = f.extra(_in_order(f.column, [(f"__w{i}", d) for i, (_, d) in enumerate(order)])).alias(f.alias)
+    if not partition:
+        return df.join(F.broadcast(keyed.agg(value)), F.lit(True), "left")  # one row
+    each = keyed.groupBy(*(quoted(c) for c in partition)).agg(value).toDF(*(f"__{i}" for i in range(len(partition))), f.alias)
+    return df.join(each, _same_keys(partition), "left").drop(*(f"__{i}" for i in range(len(partition))))
 
 
 def _ranked(df: DataFrame, f: WindowFunction, base, order: list[str]) -> DataFrame:

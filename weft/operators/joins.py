@@ -19,9 +19,6 @@ def join(left: Table, right: Table, on: Expression | None, how: str, sql_eq: boo
 
     if not isinstance(right, Table):
         raise TableError("a join needs another Table")
-    if how.startswith("right_"):
-        swapped = (lambda r, l: on(l, r)) if callable(on) else on
-        return join(right, left, swapped, f"left_{how[6:]}", sql_eq)
     ln, rn = joined(left.columns, right.columns)
     a, a_order = left._renamed(ln, "l")
     b, b_order = right._renamed(rn, "r")
@@ -29,6 +26,9 @@ def join(left: Table, right: Table, on: Expression | None, how: str, sql_eq: boo
         test = _test(a.join(b), on, left, right, ln, rn, sql_eq)
         kept = a.join(b, test, how)
         return Table(kept.toDF(*left.columns, *left._hidden()), left.columns, left._order)
+    if how in ("right_semi", "right_anti"):  # the condition still sees the sides by their own names
+        kept = b.join(a, _test(a.join(b), on, left, right, ln, rn, sql_eq), f"left_{how[6:]}")
+        return Table(kept.toDF(*right.columns, *right._hidden()), right.columns, right._order)
     if how == "cross":
         return Table._ordered(a.crossJoin(b), ln + rn, [*a_order, *b_order])
     a, b = a.withColumn("__l", F.lit(True)), b.withColumn("__r", F.lit(True))

@@ -13,7 +13,7 @@ if TYPE_CHECKING:
     from weft.table import Table
 
 
-def pivot(t: Table, spec: Pivot, max_values: int = 10_000) -> Table:
+def pivot(t: Table, spec: Pivot) -> Table:
     """One column per pivot value and value column, `{pivot value}_{value column}`; a cell may hold one row only.
 
     Looking for the pivot values is the one job this runs; Pivot.only(...) saves it.
@@ -29,9 +29,9 @@ def pivot(t: Table, spec: Pivot, max_values: int = 10_000) -> Table:
     if spec.listed is None:
         firsts = [(c.alias(f"f{i}"), f"f{i}", d) for i, (c, d) in enumerate(_first_row(t._order))]
         found = t._df.groupBy(on.alias("v")).agg(*(c for c, _, _ in firsts))
-        rows = found.orderBy(*(F.col(n).desc() if d else F.col(n).asc() for _, n, d in firsts)).select("v").limit(max_values + 1).collect()
-        if len(rows) > max_values:
-            raise TableError(f"more than {max_values} pivot values")
+        rows = found.orderBy(*(F.col(n).desc() if d else F.col(n).asc() for _, n, d in firsts)).select("v").limit(spec.most + 1).collect()
+        if len(rows) > spec.most:
+            raise TableError(f"more than {spec.most} pivot values")
         values = [r.v for r in rows]
     else:
         values = list(spec.listed)
@@ -42,7 +42,7 @@ def pivot(t: Table, spec: Pivot, max_values: int = 10_000) -> Table:
     if set(names) & set(groups):
         raise TableError(f"pivot columns {sorted(set(names) & set(groups))} exist already")
     distinct(groups + names)
-    # the orders of the groups come from an aggregate beside the pivoted one: pivot() would repeat them for each value
+    # each cell carries the place of its row; the place of a group is the first of them
     heads = [(c.alias(f"__f{i}"), f"__f{i}", d) for i, (c, d) in enumerate(_first_row(t._order))]
     cells = [F.first(quoted(c)).alias(f"c{i}") for i, c in enumerate(spec.value_columns)]
     keys = [F.col(quoted(c)) for c in groups]

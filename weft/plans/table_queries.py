@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import scalars
+from weft.plans.stage import shared_folder
 from weft.specs import Append, Dedup, GroupBy, Melt, Merge, Pivot, Sort, Window, WindowFrame
 from weft.table import Table
 
@@ -17,6 +23,7 @@ SQL: dict[str, str] = {}
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
     "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "events": ["event_id"], "embeddings": ["vec_id"], "shop_orders": ["orderid"],
+    "testing_window_long": ["row_id", "updated_at", "loaded_at"],
 }
 
 
@@ -39,6 +46,74 @@ def query(sql: str, *tables: str):
     return register
 
 
+# -- sources and actions -------------------------------------------------------------------------
+
+
+def _rows(like: Table, rows: list[dict]) -> Table:
+    return Table.from_rows(like.df.sparkSession, rows)
+
+
+@query("select * from (values (2.5::double, 'x'), (1, null), (null, 'y')) v(b, a)", "region")
+def rows_in_memory(region):
+    return _rows(region, [{"b": 2.5, "a": "x"}, {"a": None, "b": 1}, {"b": None, "a": "y"}])
+
+
+@query("select ''::varchar as a, ''::varchar as b where false", "region")
+def empty_table(region):
+    return Table.empty(region.df.sparkSession, "a", "b")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation", "nation")
+def read_json_file(nation):
+    """Written as lines of JSON and read back with a schema."""
+    spark = nation.df.sparkSession
+    path = f"{shared_folder(spark)}/weft/json-{uuid.uuid4().hex}"
+    nation.df.write.json(path)
+    return Table.read_json(spark, path, "n_nationkey bigint, n_name string, n_regionkey bigint", multiline=False)
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 2", "nation")
+def execute_table(nation):
+    return nation.filter(lambda r: r.n_regionkey == 2).execute().select("n_nationkey", "n_name")
+
+
+@query("select count(*) as rows, 3 as width from nation where n_regionkey > 1", "nation")
+def count_and_columns(nation):
+    some = nation.filter(lambda r: r.n_regionkey > 1).select("n_nationkey", "n_name", "n_regionkey")
+    return _rows(nation, [{"rows": some.count(), "width": len(some.columns)}])
+
+
+@query("select cast(row_number() over (order by n_name desc) as bigint) as place, n_name from nation", "nation")
+def data_in_order(nation):
+    names = nation.sort(Sort.desc("n_name")).select("n_name").data
+    return _rows(nation, [{"place": i, **r} for i, r in enumerate(names, 1)])
+
+
+@query("select * from (values (1, 'regions'), (2, 'r_name'), (5, 'end')) v(place, line) union all select r_regionkey + 3, r_name from region where r_regionkey < 2", "region")
+def log_lines(region):
+    """The first two rows, as printed."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        region.select("r_name").log(2, "regions")
+        print("end")
+    return _rows(region, [{"place": i, "line": x} for i, x in enumerate(out.getvalue().splitlines(), 1)])
+
+
+@query("select r_regionkey, r_name from region", "region")
+def printed_json(region):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        region.select("r_regionkey", "r_name").print_json()
+    return _rows(region, json.loads(out.getvalue()))
+
+
+@query("select true as reads_two_columns, true as pushes_filter", "orders")
+def logic_plan_text(orders):
+    """The plan of a filter and a choice of columns: both reach the scan."""
+    plan = orders.filter(lambda r: r.o_custkey > 7).select("o_orderkey", "o_custkey").logic_plan
+    return _rows(orders, [{"reads_two_columns": "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan, "pushes_filter": "GreaterThan(o_custkey,7)" in plan}])
+
+
 # -- columns -------------------------------------------------------------------------------------
 
 
@@ -97,6 +172,16 @@ def scalar_functions(nation):
     return out.add_column("has_a", lambda r: F.contains(r.n_name, F.lit("A"))).select("code", "up", "size", "head", "root", "number", "has_a")
 
 
+@query("select orderid, coalesce(try_cast(nullif(trim(customerid), '') as double), -1) as filled, try_cast(nullif(trim(customerid), '') as double) as number, coalesce(customerid, 'null') || '/' || coalesce(cast(quantity as varchar), 'null') as label, string_split(coalesce(productid, ''), 'P')[2] as part, case when length(cast(orderid as varchar)) < 6 then lpad(cast(orderid as varchar), 6, '0') else cast(orderid as varchar) end as code, true as is_now from (select distinct orderid, customerid, productid, quantity from shop_orders)", "shop_orders")
+def scalar_library(orders):
+    """The functions whose rules differ from Spark's own."""
+    t = orders.group_by(GroupBy.on("orderid", "customerid", "productid", "quantity"))
+    out = t.add_column("number", lambda r: scalars.number_or_null(r.customerid)).add_column("filled", lambda r: F.coalesce(r.number, F.lit(-1.0)))
+    out = out.add_column("label", lambda r: scalars.text(r.customerid, "/", r.quantity)).add_column("part", lambda r: scalars.piece(F.coalesce(r.productid, F.lit("")), "P", 1))
+    out = out.add_column("code", lambda r: scalars.pad_start(r.orderid, 6, "0")).add_column("is_now", lambda r: scalars.now_ms() > 1_600_000_000_000)
+    return out.select("orderid", "filled", "number", "label", "part", "code", "is_now")
+
+
 # -- rows ----------------------------------------------------------------------------------------
 
 
@@ -121,6 +206,21 @@ def sort_transform(part):
     return out.window(Window.order_by(Sort.asc("p_name", F.length)).row_number("place")).select("p_partkey", "place")
 
 
+@query("select row_id, cast(row_number() over (order by case when salary is null then 0 when isnan(salary) then 1 else 2 end, salary, row_id, updated_at, loaded_at) as integer) as place from (select distinct row_id, salary, updated_at, loaded_at from testing_window_long)", "testing_window_long")
+def sort_nan(pay):
+    """Null, NaN, values."""
+    t = pay.group_by(GroupBy.on("row_id", "salary", "updated_at", "loaded_at"))
+    return t.window(Window.order_by(Sort.asc("salary").asc("row_id").asc("updated_at").asc("loaded_at")).row_number("place")).select("row_id", "place")
+
+
+@query("select w, cast(row_number() over (order by lower(w), w desc) as integer) as place from (select distinct upper(substring(c_mktsegment, 1, 3)) as w from customer union select distinct lower(substring(c_mktsegment, 1, 3)) from customer)", "customer")
+def sort_locale(customer):
+    """a < A < b."""
+    words = customer.add_column("w", lambda r: F.upper(F.substring(r.c_mktsegment, 1, 3))).select("w")
+    both = words.union_all(words.update_column("w", lambda r: F.lower(r.w))).deduplicate(Dedup.on("w"))
+    return both.window(Window.order_by(Sort.asc("w")).row_number("place"), locale=True)
+
+
 @query("select vec_id, unnest(embedding) as embedding from embeddings", "embeddings")
 def explode_array(embeddings):
     return embeddings.select("vec_id", "embedding").explode("embedding")
@@ -209,6 +309,18 @@ def right_semi_join(customer, orders):
     return c.right_semi_join(o, _equal)
 
 
+@query("select r_regionkey, r_name from region where exists (select 1 from nation where n_nationkey < r_regionkey * 2 and n_regionkey > 2)", "nation", "region")
+def right_semi_text(nation, region):
+    """The sides keep their names in a condition given as text."""
+    return nation.filter("n_regionkey > 2").right_semi_join(region.select("r_regionkey", "r_name"), "n_nationkey < r_regionkey * 2")
+
+
+@query("select n_nationkey, n_name from nation b where not exists (select 1 from nation a where a.n_regionkey < 2 and a.n_nationkey < b.n_nationkey)", "nation")
+def right_anti_text(nation):
+    n = nation.select("n_nationkey", "n_name", "n_regionkey")
+    return n.filter("n_regionkey < 2").right_anti_join(n, "`LEFT.n_nationkey` < `RIGHT.n_nationkey`").select("n_nationkey", "n_name")
+
+
 @query("select n_name, r_name from nation, region", "nation", "region")
 def cross_join(nation, region):
     return nation.select("n_name").cross_join(region.select("r_name"))
@@ -273,6 +385,39 @@ def dedup_keep_by(orders):
     return orders.deduplicate(Dedup.on("o_custkey").keep_by(F.desc("o_orderdate"))).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("select o_orderkey, o_custkey from orders order by o_orderkey limit 1", "orders")
+def dedup_without_keys(orders):
+    return orders.deduplicate(Dedup.on()).select("o_orderkey", "o_custkey")
+
+
+@query(_ONE.format("o_totalprice, o_orderkey"), "orders")
+def dedup_pandas(orders):
+    """The row chosen by a function of the key's rows."""
+    out = orders.select("o_orderkey", "o_custkey", "o_totalprice").deduplicate(Dedup.on("o_custkey").resolve_pandas(lambda rows: int(rows["o_totalprice"].argmin())))
+    return out.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select n_regionkey, cast(row_number() over (order by first_name desc) as integer) as place from (select n_regionkey, max(n_name) as first_name from nation group by 1)", "nation")
+def group_order_desc(nation):
+    """Groups are in the order of their first rows, also after a sort by falling text."""
+    groups = nation.sort(Sort.desc("n_name")).group_by(GroupBy.on("n_regionkey").count())
+    return _rows(nation, [{"n_regionkey": r["n_regionkey"], "place": i} for i, r in enumerate(groups.data, 1)]).update_column("place", lambda r: r.place.cast("int"))
+
+
+@query("select team, count(*) as count_all, count(salary) as n, round(coalesce(sum(v), 0), 2) as total, round(avg(v), 4) as mean, max(v) as top, min(v) as low from (select *, case when not isnan(salary) then salary end as v from testing_window_long) group by 1", "testing_window_long")
+def group_nan(pay):
+    """NaN counts but is no value."""
+    out = pay.group_by(GroupBy.on("team").count().count("salary", "n").sum("salary", "total").avg("salary", "mean").max("salary", "top").min("salary", "low"))
+    return out.update_column("total", lambda r: F.round(r.total, 2)).update_column("mean", lambda r: F.round(r["mean"], 4))
+
+
+@query("select n_regionkey, arg_max(w, (lower(w), w = upper(w))) as top, arg_min(w, (lower(w), w = upper(w))) as low from (select n_regionkey, case when n_nationkey % 2 = 0 then lower(n_name) else upper(n_name) end as w from nation) group by 1", "nation")
+def group_locale(nation):
+    """Extremes in locale order: a before A before b."""
+    t = nation.add_column("w", lambda r: F.when(r.n_nationkey % 2 == 0, F.lower(r.n_name)).otherwise(F.upper(r.n_name)))
+    return t.group_by(GroupBy.on("n_regionkey").max("w", "top").min("w", "low"), locale=True)
+
+
 @query("select l_returnflag, l_linestatus, count(*) as count_all, count(nullif(l_quantity, 1)) as n, round(sum(l_quantity), 2) as qty, round(avg(l_discount), 6) as disc, min(l_shipdate) as first_ship, max(l_extendedprice) as top from lineitem group by all", "lineitem")
 def group_aggregates(lineitem):
     t = lineitem.add_column("q", lambda r: F.nullif(r.l_quantity, F.lit(1.0)))
@@ -358,6 +503,21 @@ def win_collect_and_custom(orders):
     return orders.window(spec).update_column("recent", lambda r: F.array_join(r.recent, "")).select("o_orderkey", "recent", "peak")
 
 
+@query(f"select o_orderkey, round(median(o_totalprice) {_W} rows between 2 preceding and 2 following), 3) as middle, array_to_string(list(o_orderstatus) {_W} {_ALL}, '') as statuses from orders", "orders")
+def win_custom_frames(orders):
+    """A pandas function of a frame, and a function of whole partitions."""
+    spec = _SPEC.custom_frame_pandas("o_totalprice", "middle", lambda s: float(s.median()), "double", WindowFrame.rows(-2, 2))
+    out = orders.window(spec.custom_frame("o_orderstatus", "statuses", lambda a: F.array_join(a, "")))
+    return out.update_column("middle", lambda r: F.round(r.middle, 3)).select("o_orderkey", "middle", "statuses")
+
+
+@query("select n_nationkey, max(lower(n_name)) over (partition by n_regionkey order by n_nationkey rows between 1 preceding and 1 following) as top from nation", "nation")
+def win_locale(nation):
+    spec = Window.partition_by("n_regionkey").order_by(Sort.asc("n_nationkey")).max("w", "top", WindowFrame.rows(-1, 1))
+    out = nation.add_column("w", lambda r: F.when(r.n_nationkey % 2 == 0, F.lower(r.n_name)).otherwise(F.upper(r.n_name))).window(spec, locale=True)
+    return out.update_column("top", lambda r: F.lower(r.top)).select("n_nationkey", "top")
+
+
 @query("select n_nationkey, cast(row_number() over (partition by n_regionkey order by n_name desc) * 10 as bigint) as place from nation", "nation")
 def win_custom_partition(nation):
     spec = Window.partition_by("n_regionkey").order_by(Sort.desc("n_name")).custom_partition("place", lambda rows: (rows.index + 1) * 10, "bigint")
@@ -397,6 +557,14 @@ def pivot_fill(orders):
     return _status(orders).drop("top").filter(lambda r: F.lit(True)).pivot(Pivot.on("o_orderpriority").values("n").fill_missing(-1).only("1-URGENT", "none"))
 
 
+@query("select cast(row_number() over (order by o_orderstatus desc) as integer) as place, o_orderstatus || '_n' as name from (select distinct o_orderstatus from orders)", "orders")
+def pivot_order_desc(orders):
+    """New columns are in the order of the rows in which their values come first."""
+    wide = _status(orders).drop("top").sort(Sort.desc("o_orderstatus")).pivot(Pivot.on("o_orderstatus").values("n"))
+    names = [c for c in wide.columns if c.endswith("_n")]
+    return _rows(orders, [{"place": i, "name": c} for i, c in enumerate(names, 1)]).update_column("place", lambda r: r.place.cast("int"))
+
+
 @query("select s_suppkey, 's_nationkey' as field, cast(s_nationkey as varchar) as content from supplier union all select s_suppkey, 's_name', nullif(s_name, 'Supplier#000000001') from supplier", "supplier")
 def melt(supplier):
     t = supplier.select("s_suppkey", "s_nationkey", "s_name").update_column("s_name", lambda r: F.nullif(r.s_name, F.lit("Supplier#000000001")))

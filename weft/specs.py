@@ -298,6 +298,12 @@ class Window:
             raise TableError("a custom frame function needs an alias and a function")
         return self._add("customFrame", column, alias, frame, of)
 
+    def custom_frame_pandas(self, column: str, alias: str, of: Callable[[Any], Any], returns: str, frame: WindowFrame | None = None) -> Window:
+        """of maps the pandas Series of the frame's values to a value of SQL type `returns`."""
+        if not alias or not callable(of):
+            raise TableError("a custom frame function needs an alias and a function")
+        return self._add("customFramePandas", column, alias, frame, (of, returns))
+
     def custom_partition(self, alias: str, of: Callable[[Any], Any], returns: str) -> Window:
         """of gets the sorted rows of a partition as a pandas frame and returns a value for each."""
         if not alias or not callable(of):
@@ -340,6 +346,7 @@ class Pivot:
     value_columns: tuple[str, ...] = ()
     fill: Any = None
     listed: tuple[Any, ...] | None = None
+    most: int = 10_000
 
     @staticmethod
     def on(column: str) -> Pivot:
@@ -355,6 +362,10 @@ class Pivot:
         """The pivot values, in column order; saves the job that looks for them."""
         return replace(self, listed=pivot_values)
 
+    def at_most(self, pivot_values: int) -> Pivot:
+        """How many pivot values there may be; more are an error."""
+        return replace(self, most=pivot_values)
+
     def build(self) -> Pivot:
         if not self.value_columns:
             raise TableError("a pivot needs values")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft import naming
-from weft.expr import Expression, Row, collated, condition, is_float, is_number, resolve, type_of
+from weft.expr import Expression, Row, collated, complement, condition, is_float, is_number, resolve, type_of
 from weft.naming import TableError, quoted
 from weft.operators import aggregates, joins, reshape
 from weft.operators import merge as merging
@@ -95,8 +95,8 @@ class Table:
     def _ordered(df: DataFrame, columns: list[str], order: list[tuple[Column, bool]]) -> Table:
         """df's columns with these order keys as hidden columns.
 
-        Falling keys of numbers and times are stored negated, so that the order of a group's first row
-        is a plain minimum; falling strings stay flagged and do not take part in that minimum.
+        Falling keys are stored so that they rise, numbers and times negated and text by complement, so that
+        the order of a group's first row is a plain minimum. Only falling text in locale order stays flagged.
         """
         keys: list[tuple[Column, bool]] = []
         for c, down in order:
@@ -106,6 +106,9 @@ class Table:
                     number = c if is_number(t) else F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
                     keys += [(c.isNull(), False), (-number, False)]
                     continue
+                if isinstance(t, T.StringType) and t == T.StringType():
+                    keys += [(c.isNull(), False), (complement(c), False)]
+                    continue
             keys.append((c, down))
         hidden = [c.alias(f"__o{i}") for i, (c, _) in enumerate(keys)]
         return Table(df.select(*(quoted(c) for c in columns), *hidden), columns, [(f"__o{i}", d) for i, (_, d) in enumerate(keys)])
@@ -180,11 +183,10 @@ class Table:
         return [r.asDict(recursive=True) for r in self.ordered_df().collect()]
 
     def log(self, limit: int = 0, title: str | None = None) -> Table:
-        """Print the first `limit` rows, the last -limit, or all (0)."""
+        """Print the first `limit` rows, the last -limit, or all (0); no more than those are computed."""
         if not isinstance(limit, int):
             raise TableError("limit must be a whole number")
-        done = self.execute()
-        rows = done.ordered_df()
+        rows = self.ordered_df()
         picked = rows.collect() if limit == 0 else rows.limit(limit).collect() if limit > 0 else rows.tail(-limit)
         if title:
             print(title)
@@ -192,7 +194,7 @@ class Table:
         width = [max(map(len, column)) for column in zip(*cells, strict=True)]
         for line in cells:
             print(" | ".join(v.ljust(w) for v, w in zip(line, width, strict=True)).rstrip())
-        return done
+        return self
 
     def print_json(self) -> None:
         print(json.dumps(self.data, indent=2, default=str, ensure_ascii=False))
