@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 from weft.expr import collated, is_float, is_number, number_or_null
 from weft.naming import TableError, existing, fresh, quoted
@@ -123,7 +122,8 @@ def _over_series(a: Agg, order: list[tuple[str, bool]]) -> Column:
         at = place.sort_values(list(range(len(keys))), ascending=rising, na_position="first", kind="stable").index
         return of(values.reset_index(drop=True).iloc[at].reset_index(drop=True))
 
-    return F.pandas_udf(run, returns, PandasUDFType.GROUPED_AGG)(F.col(quoted(a.column)), *(F.col(o) for o, _ in order)).alias(a.alias)
+    run.__annotations__ = {"values": pd.Series, "keys": pd.Series, "return": float}  # a series to a scalar
+    return F.pandas_udf(run, returns)(F.col(quoted(a.column)), *(F.col(o) for o, _ in order)).alias(a.alias)
 
 
 def _frame(f: WindowFunction, base, order_columns: list[str]):
@@ -210,7 +210,8 @@ def _framed_pandas(of, returns: str):
     def run(values: pd.Series) -> Any:
         return of(values)
 
-    return F.pandas_udf(run, returns, PandasUDFType.GROUPED_AGG)
+    run.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(run, returns)
 
 
 def _over_whole(df: DataFrame, f: WindowFunction, partition: list[str], order: list[tuple[Column, bool]]) -> DataFrame:
