@@ -16,18 +16,26 @@ Expression = Column | str | Callable[..., Any]
 
 
 class Cell(JvmColumn):
-    """A Column whose == and != treat null as a value, as the row functions expect."""
+    """A Column whose == and != treat null as a value, as the row functions expect.
 
-    def __new__(cls, c: Column) -> Cell:
+    It remembers of which column it is, if it is one (_of), and the columns whose equality it is, if that is all (_pairs).
+    """
+
+    def __new__(cls, c: Column, of: str | None = None, pairs: tuple[tuple[str, str], ...] = ()) -> Cell:
         self = object.__new__(cls)
         self._jc = c._jc
         return self
 
-    def __init__(self, c: Column) -> None:
-        self._jc = c._jc
+    def __init__(self, c: Column, of: str | None = None, pairs: tuple[tuple[str, str], ...] = ()) -> None:
+        self._jc, self._of, self._pairs = c._jc, of, pairs
 
     def __eq__(self, other: Any) -> Column:  # type: ignore[override]
-        return Cell(self.eqNullSafe(other))
+        both = isinstance(other, Cell) and self._of is not None and other._of is not None
+        return Cell(self.eqNullSafe(other), pairs=((self._of, other._of),) if both else ())
+
+    def __and__(self, other: Any) -> Column:  # type: ignore[override]
+        both = isinstance(other, Cell) and self._pairs and other._pairs
+        return Cell(JvmColumn.__and__(self, other), pairs=self._pairs + other._pairs if both else ())
 
     def __ne__(self, other: Any) -> Column:  # type: ignore[override]
         return Cell(~self.eqNullSafe(other))
@@ -54,7 +62,7 @@ class Row:
         if name not in self._names:
             raise TableError(f"no column {name!r} among {list(self._names)}")
         c = F.col(quoted(self._names[name]))
-        return c if self._sql_eq else Cell(c)
+        return c if self._sql_eq else Cell(c, self._names[name])
 
     def __getattr__(self, name: str) -> Column:
         if name.startswith("__"):
@@ -79,6 +87,11 @@ def resolve(e: Expression, *rows: Row) -> Column:
     raise TableError(f"an expression must be a Column, SQL text or a function, not {e!r}")
 
 
+def equal_columns(c: Column) -> tuple[tuple[str, str], ...]:
+    """The pairs of columns whose null-safe equality c is; none if c is, or may be, anything else."""
+    return c._pairs if isinstance(c, Cell) else ()
+
+
 def type_of(df: DataFrame, c: Column) -> T.DataType:
     return df.select(c.alias("x")).schema[0].dataType
 

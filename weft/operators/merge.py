@@ -7,14 +7,15 @@ for one target row are an error, raised while the result is computed.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.expr import Row, certain, condition, is_number, resolve, type_of
+from weft.expr import Row, certain, condition, equal_columns, is_number, resolve, type_of
 from weft.naming import TableError, existing
 from weft.specs import BOTH, SOURCE_ONLY, TARGET_ONLY, Command, Merge
 
@@ -39,12 +40,24 @@ def merge(target: Table, spec: Merge, allow_type_widening: bool = False, sql_eq:
     b = b.withColumn("__so", F.monotonically_increasing_id())
     t_row, s_row = Row(t_names, sql_eq), Row(s_names, sql_eq)
     both = a.join(b)
-    pairs = a.join(b, condition(both, resolve(spec.predicate, t_row, s_row)), "full")
+    test = condition(both, resolve(spec.predicate, t_row, s_row))
     to, so = F.col("__to"), F.col("__so")
-    # rows that are in the source alone are partitions of their own, not one large one
-    matches = F.sum((to.isNotNull() & so.isNotNull()).cast("int")).over(SparkWindow.partitionBy(F.coalesce(to, -1 - so)))
-    pairs = pairs.withColumn("__m", matches)
-    pairs = pairs.where(F.when(F.col("__m") > 1, F.raise_error(F.lit("merge: a target row is matched by several source rows")).cast("boolean")).otherwise(True))
+    matched = to.isNotNull() & so.isNotNull()
+    keys = _keys(a, b, equal_columns(test))
+    if keys:
+        # a target row has several source rows if the source has its keys several times; they are counted where the join needs them anyway
+        names = [f"{n}{i}" for i in range(len(keys)) for n in ("k", "n")]
+        keyed = lambda df, side: df.select("*", *(x.alias(f"__{side}{n}") for n, x in zip(names, (x for k in keys for x in k[side == "s"]), strict=True)))
+        times = F.count(F.lit(1)).over(SparkWindow.partitionBy(*(f"__s{n}" for n in names))).alias("__m")
+        same = reduce(lambda x, y: x & y, (F.col(f"__t{n}") == F.col(f"__s{n}") for n in names))
+        pairs = keyed(a, "t").join(keyed(b, "s").select("*", times), same, "full")
+        several = matched & (F.col("__m") > 1)
+    else:
+        # rows that are in the source alone are partitions of their own, not one large one
+        matches = F.sum(matched.cast("int")).over(SparkWindow.partitionBy(F.coalesce(to, -1 - so)))
+        pairs = a.join(b, test, "full").withColumn("__m", matches)
+        several = F.col("__m") > 1
+    pairs = pairs.where(F.when(several, F.raise_error(F.lit("merge: a target row is matched by several source rows")).cast("boolean")).otherwise(True))
     here = {BOTH: to.isNotNull() & so.isNotNull(), SOURCE_ONLY: to.isNull(), TARGET_ONLY: so.isNull()}
     sees = {BOTH: (t_row, s_row), SOURCE_ONLY: (s_row,), TARGET_ONLY: (t_row,)}
     values: dict[str, Column] = {c: F.col(n) for c, n in t_names.items()}
@@ -70,6 +83,21 @@ def merge(target: Table, spec: Merge, allow_type_widening: bool = False, sql_eq:
     return Table._ordered(picked, target.columns, order)
 
 
+def _keys(a: DataFrame, b: DataFrame, equal: tuple[tuple[str, str], ...]) -> list[tuple[tuple[Column, Column], ...]]:
+    """For each pair of equal columns, of target and source: the value without null and whether it is null. Empty if a pair is not plain."""
+    out = []
+    for pair in equal:
+        sides = [next((x for x in pair if x in df.columns), None) for df in (a, b)]
+        if None in sides:
+            return []
+        types = {df.schema[x].dataType for df, x in zip((a, b), sides, strict=True)}
+        other = {T.StringType: "", T.LongType: 0, T.IntegerType: 0, T.BooleanType: False}.get(type(next(iter(types))))
+        if len(types) > 1 or other is None:
+            return []
+        out.append(tuple((F.coalesce(F.col(x), F.lit(other).cast(next(iter(types)))), F.col(x).isNull()) for x in sides))
+    return out
+
+
 def _assignments(c: Command, target: list[str], source: list[str], s_names: dict[str, str], rows: tuple[Row, ...]) -> list[tuple[str, Column]]:
     if c.column is None:
         if set(target) != set(source):

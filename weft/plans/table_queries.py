@@ -644,9 +644,10 @@ def flagship(lineitem, orders, customer, nation):
     units = lambda r: F.round(r.l_extendedprice * 100).cast("bigint") * (100 - F.round(r.l_discount * 100).cast("bigint"))
     items = lineitem.filter("l_shipdate >= timestamp_ntz'1994-01-01'").add_column("value", units).select("l_orderkey", "value")
     joined = items.inner_join(orders.select("o_orderkey", "o_custkey"), lambda a, b: a.l_orderkey == b.o_orderkey, sql_eq=True)
-    joined = joined.inner_join(customer.select("c_custkey", "c_name", "c_nationkey"), lambda a, b: a.o_custkey == b.c_custkey, sql_eq=True)
-    joined = joined.inner_join(nation.select("n_nationkey", "n_name"), lambda a, b: a.c_nationkey == b.n_nationkey, sql_eq=True)
-    by_customer = Table.from_df(joined.group_by(GroupBy.on("n_name", "c_custkey", "c_name").sum("value", "units")).df, ["c_custkey"])
+    sums = joined.group_by(GroupBy.on("o_custkey").sum("value", "units"))  # a row per customer before names are joined to it
+    named = sums.inner_join(customer.select("c_custkey", "c_name", "c_nationkey"), lambda a, b: a.o_custkey == b.c_custkey, sql_eq=True)
+    named = named.inner_join(nation.select("n_nationkey", "n_name"), lambda a, b: a.c_nationkey == b.n_nationkey, sql_eq=True)
+    by_customer = Table.from_df(named.df, ["c_custkey"])
     ranked = by_customer.window(Window.partition_by("n_name").order_by(Sort.desc("units")).row_number("place"))
     best = ranked.filter(lambda r: r.place <= 3).add_column("revenue_cents", lambda r: F.floor(r.units / 100))
     return best.select("n_name", "c_name", "revenue_cents", "place")
