@@ -58,6 +58,25 @@ def test_slices_agree_with_brute_force(spark):
             assert gap == sorted((k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:]))
 
 
+def test_crowded_starts_are_spread(spark):
+    """Most spans of an entity start within a moment, many at once."""
+    rnd = random.Random(3)
+    rows = [("hot", s := 10**9 + rnd.randint(0, 40) * 3, s + rnd.randint(0, 1)) for _ in range(400)] + [("hot", s := rnd.randint(0, 10**12), s + 5) for _ in range(50)]
+    df = spark.createDataFrame(rows, "entity string, s bigint, e bigint")
+    want = brute(rows)["hot"]
+    assert sorted((r.period_start, r.period_end) for r in periods(df, 50).collect()) == want
+    assert sorted((r.gap_start, r.gap_end) for r in gaps(df, 50).collect()) == [(a[1], b[0]) for a, b in zip(want, want[1:])]
+
+
+def test_map_keeps_the_gaps(spark):
+    m = IntervalMap([0, 20], [10, 30])
+    assert list(m.gaps()) == [(10, 20)]
+    m.insert(12, 15)
+    assert list(m.gaps()) == [(10, 12), (15, 20)]
+    m.insert(15, 20)
+    assert list(m.gaps()) == [(10, 12)] and m.before == [None, 10]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "entity string, s bigint, e bigint")
     assert gaps(df).collect() == [] and periods(df).collect() == []
