@@ -45,11 +45,15 @@ def distinct(names: list[str]) -> list[str]:
     return names
 
 
+#: What a * of a glob matches, and how a replacement names it.
+STAR, MATCH = "(.+?)", r"\$(\d+)"
+
+
 def glob(pattern: str) -> re.Pattern[str]:
     """A whole-name pattern in which * stands for one or more characters."""
     if not isinstance(pattern, str) or not pattern:
         raise TableError("a glob must be a non-empty string")
-    return re.compile("(.+?)".join(map(re.escape, pattern.split("*"))))
+    return re.compile(STAR.join(map(re.escape, pattern.split("*"))))
 
 
 def matching(pattern: str, columns: list[str]) -> list[str]:
@@ -60,13 +64,13 @@ def matching(pattern: str, columns: list[str]) -> list[str]:
 def glob_renamed(pattern: str, replacement: str, columns: list[str]) -> list[str]:
     """All names after those that match are replaced; $n is what the n-th * (from 0) matched."""
     p = glob(pattern)
-    wanted = [int(n) for n in re.findall(r"\$(\d+)", replacement)]
+    wanted = [int(n) for n in re.findall(MATCH, replacement)]
     if any(n >= p.groups for n in wanted):
         raise TableError(f"{replacement!r} refers to more than the {p.groups} stars of {pattern!r}")
 
     def name(c: str) -> str:
         m = p.fullmatch(c)
-        return re.sub(r"\$(\d+)", lambda g: m[int(g[1]) + 1], replacement) if m else c
+        return re.sub(MATCH, lambda g: m[int(g[1]) + 1], replacement) if m else c
 
     return distinct([name(c) for c in columns])
 
