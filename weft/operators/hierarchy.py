@@ -164,7 +164,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["id", "cycle_key"])
 
 
-def cycles(edges: DataFrame, max_rounds: int = 400, finish_rows: int = 20_000) -> DataFrame:
+def cycles(edges: DataFrame, max_rounds: int = 400, finish_rows: int = 50_000) -> DataFrame:
     """The nodes on a cycle of edges(id, parent): id, cycle_key. A node that is its own parent is a cycle."""
     rounds, left = _contract(edges, False, max_rounds, finish_rows)
     is_core = (F.col("tag") == DONE) & F.col("parent").isNotNull()
