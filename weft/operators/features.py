@@ -41,6 +41,9 @@ def slugs(types: list[str]) -> list[str]:
     return out
 
 
+NEVER = np.iinfo(np.int64).min
+
+
 class _Wide:
     """Adds runs to rows of width types; a row per (entity, salt)."""
 
@@ -52,7 +55,7 @@ class _Wide:
         self.entities: list[str] = []
         self.count = np.zeros((self.chunk, self.types), np.int64)
         self.total = np.zeros((self.chunk, self.types), np.int64)
-        self.last = np.full((self.chunk, self.types), np.iinfo(np.int64).min, np.int64)
+        self.last = np.full((self.chunk, self.types), NEVER, np.int64)
 
     def batch(self) -> pa.RecordBatch:
         n = len(self.entities)
@@ -61,7 +64,7 @@ class _Wide:
             last = self.last[:n, t]
             columns += [
                 pa.array(self.count[:n, t]),
-                pa.array(last, pa.int64(), mask=last == np.iinfo(np.int64).min),
+                pa.array(last, pa.int64(), mask=last == NEVER).cast(pa.timestamp("us")),
                 pa.array(self.total[:n, t] / 1e6),
             ]
         return pa.record_batch(columns, names=self.names)
@@ -79,7 +82,7 @@ def _stream(types: int, names: list[str], chunk: int):
             salt, kind = b.column(1).to_numpy(), b.column(2).to_numpy()
             event = b.column(3).fill_null(-1).to_numpy()
             no_event = np.asarray(b.column(3).is_null().to_numpy(zero_copy_only=False))
-            start = b.column(4).fill_null(np.iinfo(np.int64).min).to_numpy()
+            start = b.column(4).fill_null(NEVER).to_numpy()
             length = b.column(5).fill_null(0).to_numpy()
             new = np.ones(len(code), bool)
             new[1:] = (code[1:] != code[:-1]) | (salt[1:] != salt[:-1])
@@ -117,6 +120,32 @@ def _stream(types: int, names: list[str], chunk: int):
     return run
 
 
+def _added(types: int, names: list[str], chunk: int):
+    """Wide rows sorted by entity (one per salt) to one row per entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = _Wide(types, names, chunk)
+        for b in batches:
+            column = lambda i: [b.column(c) for c in range(1 + i, b.num_columns, 3)]  # noqa: E731, B023
+            count = np.stack([c.to_numpy() for c in column(0)], axis=1)
+            last = np.stack([c.cast(pa.int64()).fill_null(NEVER).to_numpy() for c in column(1)], axis=1)
+            total = np.stack([np.rint(c.to_numpy() * 1e6).astype(np.int64) for c in column(2)], axis=1)
+            for i, entity in enumerate(b.column(0).to_pylist()):
+                if not wide.entities or wide.entities[-1] != entity:
+                    if len(wide.entities) == chunk:
+                        yield wide.batch()
+                        wide.clear()
+                    wide.entities.append(entity)
+                row = len(wide.entities) - 1
+                wide.count[row] += count[i]
+                wide.total[row] += total[i]
+                wide.last[row] = np.maximum(wide.last[row], last[i])
+        if wide.entities:
+            yield wide.batch()
+
+    return run
+
+
 def event_features(
     events: DataFrame,
     entity: Column,
@@ -141,7 +170,7 @@ def event_features(
     ready = rows.join(numbers, "kind").select("entity", F.col("nr").alias("kind"), "event", "s", F.greatest(length, F.lit(0)).alias("length"))
     named = slugs(types)
     names = ["entity", *(f"{t}_{x}" for t in named for x in ("n", "last", "total_s"))]
-    kinds = {"n": "bigint", "last": "bigint", "total_s": "double"}
+    kinds = {"n": "bigint", "last": "timestamp_ntz", "total_s": "double"}
     schema = ", ".join(["entity string", *(f"`{t}_{x}` {k}" for t in named for x, k in kinds.items())])
 
     def wide(part: DataFrame, *keys: str) -> DataFrame:
@@ -152,6 +181,6 @@ def event_features(
     out = wide(without(ready, heavy, ["entity"]).withColumn("salt", F.lit(0)), "entity")
     if heavy is not None:  # all deliveries of an event have one salt; events without id are spread by their start
         spread = F.xxhash64("event", F.when(F.col("event").isNull(), F.col("s")))
-        merge = [F.max(f"`{c}`").alias(c) if c.endswith("_last") else F.sum(f"`{c}`").alias(c) for c in names[1:]]
-        out = out.unionAll(wide(salted(ready, heavy, ["entity"], spread), "entity", "salt").groupBy("entity").agg(*merge))
-    return out.select(*(F.timestamp_micros(F.col(f"`{c}`")).cast("timestamp_ntz").alias(c) if c.endswith("_last") else F.col(f"`{c}`") for c in names))
+        parts = wide(salted(ready, heavy, ["entity"], spread), "entity", "salt")
+        out = out.unionAll(parts.repartition("entity").sortWithinPartitions("entity").mapInArrow(_added(len(types), names, chunk), schema))
+    return out
