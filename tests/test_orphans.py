@@ -46,7 +46,7 @@ def test_heavy_and_light_keys_agree_with_brute_force(spark):
     want = {o for o, k, t in facts if not any(k == d and c <= t and (e is None or e > t) for d, c, e in dims)}
     f, refs = sides(spark, facts, dims)
     # all groups by broadcast; the large ones by broadcast and the rest shuffled; all shuffled; large keys by salt
-    for options in ({}, {"heavy_rows": 20, "broadcast_rows": 40}, {"heavy_rows": 10**6, "broadcast_rows": 0}, {"heavy_rows": 20, "broadcast_rows": 3}):
+    for options in ({}, {"heavy_rows": 20, "broadcast_rows": 40}, {"heavy_rows": 10**6, "broadcast_rows": 0}, {"heavy_rows": 20, "salt_rows": 20, "broadcast_rows": 3}):
         found = orphan_references(f, refs, "orderid", "ts", **options)
         assert {r.id for r in found.collect()} == want
         counts = orphan_counts(f, refs, "orderid", "ts", **options)

@@ -179,8 +179,8 @@ def event_features(
 
     heavy = heavy_groups(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), ["entity"], salt_rows)
     out = wide(without(ready, heavy, ["entity"]).withColumn("salt", F.lit(0)), "entity")
-    if heavy is not None:  # all deliveries of an event have one salt; events without id are spread by their start
-        spread = F.xxhash64("event", F.when(F.col("event").isNull(), F.col("s")))
-        parts = wide(salted(ready, heavy, ["entity"], spread), "entity", "salt")
+    if heavy is not None:  # all deliveries of an event have one salt; events without id are spread row by row
+        spread = F.when(F.col("event").isNotNull(), F.xxhash64("event")).otherwise(F.monotonically_increasing_id())
+        parts = wide(salted(ready, heavy, ["entity"], by=spread), "entity", "salt")
         out = out.unionAll(parts.repartition("entity").sortWithinPartitions("entity").mapInArrow(_added(len(types), names, chunk), schema))
     return out

@@ -193,7 +193,7 @@ def _under(gone: DataFrame, up: DataFrame, hubs: DataFrame | None) -> DataFrame:
     out = without(gone, hubs, ["parent"]).join(up, "parent", "left")
     if hubs is None:
         return out
-    hot = salted(gone, hubs, ["parent"], F.xxhash64("id")).join(copied(up, hubs, ["parent"]), ["parent", "salt"], "left")
+    hot = salted(gone, hubs, ["parent"]).join(copied(up, hubs, ["parent"]), ["parent", "salt"], "left")
     return out.unionByName(hot.drop("salt"))
 
 

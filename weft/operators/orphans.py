@@ -110,9 +110,19 @@ def _without_record(rows: DataFrame, periods: DataFrame, *salt: str) -> DataFram
 
 
 def orphan_rows(
-    facts: DataFrame, refs: list[Reference], id_col: str, time_col: str, period: str = "month", heavy_rows: int = 20_000, broadcast_rows: int = 50_000
+    facts: DataFrame,
+    refs: list[Reference],
+    id_col: str,
+    time_col: str,
+    period: str = "month",
+    heavy_rows: int = 2_000,
+    salt_rows: int = 50_000,
+    broadcast_rows: int = 50_000,
 ) -> DataFrame:
-    """id, ts, ref_field, key, period of every reference without a valid record, repeated deliveries too."""
+    """id, ts, ref_field, key, period of every reference without a valid record, repeated deliveries too.
+
+    heavy_rows: references of a group that is looked up by broadcast; salt_rows: references of a key in one part.
+    """
     rows = references(facts, id_col, time_col, refs).withColumn("period", F.date_trunc(period, F.col("ts")))
     groups = written(per_period(rows), "groups")
     periods = validity(refs)
@@ -133,10 +143,10 @@ def orphan_rows(
     known = written(periods.join(suspect.where("met").select(*KEY).distinct(), KEY, "left_semi"), "known", periods=F.lit(1))
     if counts_of(known)["periods"] <= broadcast_rows:
         return _without_record(found, F.broadcast(known))
-    large = heavy_groups(suspect.groupBy(*KEY).agg(F.sum("n").alias("n")), KEY, heavy_rows)
+    large = heavy_groups(suspect.groupBy(*KEY).agg(F.sum("n").alias("n")), KEY, salt_rows)
     if large is None:
         return _without_record(found, known)
-    hot = _without_record(salted(found, large, KEY, F.xxhash64("id", "ts")), copied(known, large, KEY), "salt")
+    hot = _without_record(salted(found, large, KEY), copied(known, large, KEY), "salt")
     return _without_record(without(found, large, KEY), known).unionByName(hot.drop("salt"))
 
 

@@ -48,10 +48,14 @@ def without(rows: DataFrame, heavy: DataFrame | None, keys: list[str]) -> DataFr
     return rows if heavy is None else _joined(rows, heavy, keys, "left_anti")
 
 
-def salted(rows: DataFrame, heavy: DataFrame, keys: list[str], by: Column, *carried: str) -> DataFrame:
-    """rows of heavy groups with these columns of heavy and `salt`, from a hash of `by`, below the group's parts; not shuffled."""
+def salted(rows: DataFrame, heavy: DataFrame, keys: list[str], *carried: str, by: Column | None = None) -> DataFrame:
+    """rows of heavy groups with these columns of heavy and `salt`, below the group's parts; not shuffled.
+
+    The salt comes from the hash `by`, or from the place of the row in its partition, which spreads equal rows too.
+    """
     mine = _joined(rows, heavy, keys, "inner", "parts", *carried)
-    return mine.withColumn("salt", F.pmod(by, F.col("parts")).cast("int")).drop("parts")
+    place = F.monotonically_increasing_id() if by is None else by
+    return mine.withColumn("salt", F.pmod(place, F.col("parts")).cast("int")).drop("parts")
 
 
 def copied(other: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
