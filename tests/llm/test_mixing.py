@@ -2,12 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.mixing import _encoding, default_tokenizer, mix, pivotal, plan, token_counter, vocabulary, with_tokens
+from weft.llm.mixing import NAMES, _encoding, _round, default_tokenizer, mix, pivotal, plan, token_counter, vocabulary, with_tokens
 
 TARGETS = "source string, target_share double, max_repeats int, text string"
 DOCS = "doc_id bigint, source string, text string, tokens string, copies int"
@@ -48,6 +49,25 @@ def test_pivotal_keeps_tokens_and_leaves_one_per_source(seed):
     assert np.abs(rate - 0.3).max() < 0.03
 
 
+def test_a_bucket_over_many_batches():
+    """Batches as Spark sends them, with fields that are not nullable."""
+    rng, n = np.random.default_rng(1), 400
+    rows = [(i, "ab"[i % 300 > 200], int(rng.integers(1, 50)), 0, None, float(rng.random()), i // 300) for i in range(n)]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+    schema = pa.schema([pa.field(c, t, c == "copies") for c, t in zip(NAMES, types)])
+    batches = [pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 37]), types)], schema=schema) for i in range(0, n, 37)]
+    out = [r for b in _round(5, 0)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["id"] for r in out) == list(range(n))
+    for bucket in (0, 1):
+        for source in "ab":
+            mine, was = [r for r in out if (r["bucket"], r["source"]) == (bucket, source)], [r for r in rows if (r[6], r[1]) == (bucket, source)]
+            assert sum(r["copies"] is None for r in mine) <= 1
+            kept = sum(r["tokens"] * (r["fraction"] if r["copies"] is None else r["copies"]) for r in mine)
+            assert abs(kept - sum(r[2] * r[5] for r in was)) < 1e-4
+    again = [r for b in _round(5, 0)(iter(batches)) for r in b.to_pylist()]
+    assert again == out
+
+
 def make(spark, n=1500):
     rnd = random.Random(9)
     docs = [(i, "big" if i % 3 else rnd.choice(["small", "mid", "other", None]), rnd.choice([None, "", *["word " * rnd.randint(1, 90)] * 9]), "x", 1) for i in range(n)]

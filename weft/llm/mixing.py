@@ -145,6 +145,9 @@ def pivotal(fraction: np.ndarray, tokens: np.ndarray, source: np.ndarray, draw)
 DRAWN = "id bigint, source string, tokens bigint, sure int, copies int, fraction double, bucket bigint"
 
 
+NAMES = [x.split()[0] for x in DRAWN.split(", ")]
+
+
 def _round(seed: int, level: int):
     """Rows of DRAWN sorted by bucket and source; fractions are rounded within each bucket."""
 
@@ -160,7 +163,7 @@ def _round(seed: int, level: int):
             bucket = b.column(6).to_numpy()
             edges = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
             for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
-                part = pa.Table.from_batches([b.slice(first, last - first)])
+                part = pa.Table.from_arrays(b.slice(first, last - first).columns, names=NAMES)
                 if bucket[first] != at:
                     if left is not None:
                         yield from left.to_batches()
