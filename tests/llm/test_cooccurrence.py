@@ -26,7 +26,7 @@ def run(spark, rows, **options):
     return {(r.item_a, r.item_b): tuple(r)[2:] for r in pairs(df, "basket", F.col("items"), **options).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"min_together": 3}, {"min_together": 3, "broadcast_items": 2}, {"wide_basket": 3}, {"min_together": 2, "wide_basket": 4}])
+@pytest.mark.parametrize("options", [{}, {"min_together": 3}, {"min_together": 3, "broadcast_items": 2}, {"wide_basket": 3}, {"min_together": 2, "wide_basket": 4}, {"broadcast_items": 3}])
 def test_agrees_with_brute_force(spark, options):
     rnd = random.Random(8)
     rows = [(rnd.choice([None, *range(60)]), [rnd.choice([0, 1, 1, 7, (1 << 31) - 1, None, *range(30)]) for _ in range(rnd.randint(0, 7))]) for _ in range(120)]

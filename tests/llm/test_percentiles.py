@@ -38,7 +38,7 @@ def test_codes_keep_the_order():
     assert (decode(encode(v)) == v).all()
 
 
-@pytest.mark.parametrize("heavy_rows", [10**6, 100])
+@pytest.mark.parametrize("heavy_rows", [10**6, 100, 4])
 def test_exact(spark, heavy_rows):
     rows = data()
     out = percentiles(encoded(frame(spark, rows), ["a", "b"], "v"), ["a", "b"], PS, heavy_rows=heavy_rows)

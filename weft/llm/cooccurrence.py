@@ -103,19 +103,26 @@ def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([code], pa.int64()), pa.array([n], pa.int64())], names=["code", "n"])
 
 
-def _frequent(lists: DataFrame, counts: DataFrame, min_together: int, broadcast_items: int) -> DataFrame:
-    """The lists with only the items that are in at least min_together baskets."""
+def _frequent(lists: DataFrame, top: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """The lists with only the items of these tables."""
     each = lists.select("basket", F.explode("items").alias("item"))
-    common = counts.where(F.col("n") >= min_together)
-    top = heavy_groups(common, ["item"], min_together, broadcast_items)
-    if top is None:
-        return lists.where(F.lit(False))
     kept = each.join(F.broadcast(top.select("item")), "item", "left_semi")
-    if counts_of(counts)["common"] > broadcast_items:
-        kept = kept.unionByName(without(each, top, ["item"]).join(common.select("item"), "item", "left_semi"))
+    if rest is not None:
+        kept = kept.unionByName(without(each, top, ["item"]).join(rest.select("item"), "item", "left_semi"))
     return kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
+def _numbered(found: DataFrame, item: str, n: str, top: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """found with the baskets of an item, by broadcast of the most frequent ones and a shuffled join of the others."""
+    out = found.join(F.broadcast(top.select(F.col("item").alias(item), F.col("n").alias(n))), item, "left")
+    if rest is None:
+        return out
+    # pairs that need no other count are spread by keys that are no items
+    key = F.when(F.col(n).isNull(), F.col(item)).otherwise(-1 - F.pmod(F.monotonically_increasing_id(), F.lit(10_000)))
+    more = rest.select(F.col("item").alias("key"), F.col("n").alias("more"))
+    return out.withColumn("key", key).join(more, "key", "left").withColumn(n, F.coalesce(n, "more")).drop("key", "more")
+
+
 def pairs(rows: DataFrame, basket: str, items: Column, min_together: int = 1, broadcast_items: int = MOST, wide_basket: int = 1_000) -> DataFrame:
     """item_a, item_b, n_ab, n_a, n_b, n, lift, odds_ratio for pairs in at least min_together baskets.
 
@@ -128,8 +135,13 @@ def pairs(rows: DataFrame, basket: str, items: Column, min_together: int = 1, br
     n = counts_of(lists)["n"]
     counts = lists.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "items", common=F.col("n") >= min_together)
+    common = counts.where(F.col("n") >= min_together)
+    top = heavy_groups(common, ["item"], min_together, broadcast_items)
+    rest = common if counts_of(counts)["common"] > broadcast_items else None
+    if top is None:
+        top = counts.where(F.lit(False))
     if min_together > 1:
-        lists = _frequent(lists, counts, min_together, broadcast_items)
+        lists = _frequent(lists, top, rest)
     size = F.size("items")
     # an ordinary basket is one piece; a wide one has a piece for every wide_basket items, which are spread over tasks
     step = F.explode(F.sequence(F.lit(0), size - 1, F.lit(wide_basket)))
@@ -140,8 +152,7 @@ def pairs(rows: DataFrame, basket: str, items: Column, min_together: int = 1, br
     both = counted.where(F.col("n") >= min_together).select(
         F.shiftright("code", 32).alias("item_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("item_b"), F.col("n").alias("n_ab")
     )
-    a, b = counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))
-    out = both.join(a, "item_a").join(b, "item_b").withColumn("n", F.lit(n).cast("bigint"))
+    out = _numbered(_numbered(both, "item_a", "n_a", top, rest), "item_b", "n_b", top, rest).withColumn("n", F.lit(n).cast("bigint"))
     ab, na, nb, total = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n"))
     odds = ((ab + 0.5) * (total - na - nb + ab + 0.5)) / ((na - ab + 0.5) * (nb - ab + 0.5))
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", (ab * total / (na * nb)).alias("lift"), odds.alias("odds_ratio"))

@@ -141,7 +141,7 @@ def _bitmap(index: DataFrame, codes: int) -> np.ndarray:
     return out
 
 
-def _meet(rows: DataFrame, table: DataFrame, n: int, keys: list[str], by: Column, broadcast_rows: int, hot_rows: int) -> DataFrame:
+def _meet(rows: DataFrame, table: DataFrame, n: int, keys: list[str], broadcast_rows: int, hot_rows: int) -> DataFrame:
     """rows joined to a table of n rows: by broadcast if it is small, else shuffled, with hot keys salted."""
     if n <= broadcast_rows:
         return rows.join(F.broadcast(table), keys)
@@ -149,7 +149,7 @@ def _meet(rows: DataFrame, table: DataFrame, n: int, keys: list[str], by: Column
     out = without(rows, hot, keys).join(table, keys)
     if hot is None:
         return out
-    return out.unionByName(salted(rows, hot, keys, by).join(copied(table, hot, keys), [*keys, "salt"]).drop("salt"))
+    return out.unionByName(salted(rows, hot, keys).join(copied(table, hot, keys), [*keys, "salt"]).drop("salt"))
 
 
 def _shingled(words: Column, shingle: int) -> Column:
@@ -182,7 +182,7 @@ def leaks(
     bitmap = _bitmap(index, counts_of(index)["n"])
     own = documents.select(documents[doc_id].cast("bigint"), documents[text].cast("string"))
     found = written(own.mapInArrow(_search(sizes, shingle, bands, rows, bitmap, threshold < 1), WINDOW), "candidates")
-    pairs = _meet(found, index, counts_of(index)["n"], ["size", "band", "code"], F.xxhash64("id", "words"), broadcast_rows, hot_rows)
+    pairs = _meet(found, index, counts_of(index)["n"], ["size", "band", "code"], broadcast_rows, hot_rows)
     if threshold >= 1:
         inside = F.contains(F.concat(F.lit(" "), "words", F.lit(" ")), F.concat(F.lit(" "), "window", F.lit(" ")))
     else:
@@ -190,11 +190,8 @@ def leaks(
         inside = F.size(F.array_intersect(asked, _shingled(F.col("words"), shingle))) >= threshold * F.size(asked)
     hits = written(pairs.where(inside).select(F.col("id").alias("doc_id"), "size", "window").distinct(), "hits")
     queries = windows.where("band = 0").select(F.col("id").alias("item_id"), "size", F.col("words").alias("window"))
-    both = _meet(hits, queries, counts_of(windows)["n"], ["size", "window"], F.xxhash64("doc_id"), broadcast_rows, hot_rows)
+    both = _meet(hits, queries, counts_of(windows)["n"], ["size", "window"], broadcast_rows, hot_rows)
     total = queries.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
-    return (
-        both.groupBy("doc_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("n_windows"))
-        .join(total, "item_id")
-        .select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("share"))
-    )
+    found = both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    out = _meet(found, total, counts_of(windows)["n"], ["item_id"], broadcast_rows, hot_rows)
+    return out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("share"))

@@ -187,7 +187,8 @@ def percentiles(counts: DataFrame, groups: list[str], ps: dict[str, float], drop
     light = without(counts, heavy, groups)
     out = light.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_within_tasks(len(groups), named, names), schema)
     if heavy is not None:
-        hot = written(salted(counts, heavy, groups, F.xxhash64("code"), "nr").select("nr", "salt", "code", "n"), "heavy-codes")
+        hot = salted(counts, heavy, groups, "nr", by=F.xxhash64("code")).groupBy("nr", "salt", "code").agg(F.sum("n").alias("n"))  # a frequent value is one row
+        hot = written(hot, "heavy-codes")
         values = _distributed(hot, heavy, named).mapInArrow(_decoded, "nr bigint, " + ", ".join(f"c{i} double" for i in range(len(named))))
         few = values.join(heavy, "nr").select(*groups, F.col("total").alias("n"), *(F.col(f"c{i}").alias(p) for i, p in enumerate(ps)))
         out = out.unionAll(few)

@@ -90,7 +90,7 @@ def top_n(
         many = heavy_groups(bounded.select("g", (F.col("n") * n).alias("n")), ["g"], group_rows)
         if many is not None:  # groups that had bounds in very many tasks are ranked by salt first
             w = Window.partitionBy("g", "salt").orderBy(F.desc("score"), F.asc("id"))
-            first = salted(level, many, ["g"], F.xxhash64("id")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+            first = salted(level, many, ["g"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
             level = without(level, many, ["g"]).unionAll(first.select("g", "score", "id"))
     ranked = level.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))))
     return ranked.where(F.col("place") <= n).select(F.col("g").alias(group), F.col("score").alias(score), F.col("id").alias(row_id), "place")
