@@ -135,7 +135,7 @@ rings as (
 
 _SPANS = r"""
 with runs as (
-  select lower(trim(instance, E' \t\n\r\f\x0b ')) as instance, start_time as s,
+  select distinct lower(trim(instance, E' \t\n\r\f\x0b ')) as instance, start_time as s,
          case when end_time < start_time then end_time + interval 1 day else end_time end as e
   from fake_runs where start_time is not null and end_time is not null),
 marked as (
