@@ -28,10 +28,10 @@ def levels(spark, model, rows):
 def test_the_speech_as_a_whole_decides(spark, model):
     rows = [
         (1, EASY * 3 + f"He said “{HARD}” once. " + HARD, "en"), (2, HARD * 3 + "[Deputy X: the dog is big] " + EASY[:20], "en"), (3, None, "en"), (4, "", None), (5, "zzz qqq", "en"),
-        (6, "Name of Speaker: " + EASY, None), (7, "der hund und die katze", None), (10, "die katze und der hund ist da", "de"), (11, "le chat et le chien", "fr"), (12, "qqq", None), (8, HARD.lower().replace(".", "\n") * 4, "en"), (9, EASY * 5000 + HARD, "en"),
+        (6, "Name of Speaker: " + EASY, None), (7, "der hund und die katze", None), (10, "die katze und der hund ist da", "de"), (11, "le chat et le chien", "fr"), (12, "xyzzy", None), (13, "qqq", None), (8, HARD.lower().replace(".", "\n") * 4, "en"), (9, EASY * 5000 + HARD, "en"),
     ]
     got = levels(spark, model, rows)
-    assert got == {1: ("en", 1), 2: ("en", 5), 3: ("en", None), 4: (None, None), 5: ("en", None), 6: ("en", 1), 7: ("de", None), 8: ("en", 5), 9: ("en", 1), 10: ("de", None), 11: ("fr", None), 12: (None, None)}
+    assert got == {1: ("en", 1), 2: ("en", 5), 3: ("en", None), 4: (None, None), 5: ("en", None), 6: ("en", 1), 7: ("de", None), 8: ("en", 5), 9: ("en", 1), 10: ("de", None), 11: ("fr", None), 12: (None, None), 13: ("en", None)}
 
 
 def test_speech():

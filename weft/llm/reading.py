@@ -162,14 +162,14 @@ def _posterior(likelihood: np.ndarray) -> np.ndarray:
 class LanguageModels:
     """Unigram models of languages: log P(word) in the order of the words' hashes, and that of any other word."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], prior: float = 0.1) -> None:
+    def __init__(self, counts: dict[str, dict[str, int]], unseen: float = 0.05) -> None:
         self.languages = sorted(counts)
         vocabulary = sorted({w for own in counts.values() for w in own})
         n = np.array([[counts[x].get(w, 0) for x in self.languages] for w in vocabulary], float).reshape(len(vocabulary), len(self.languages))
-        mass = n.sum(0) + prior * (len(vocabulary) + 1)
+        other = unseen / (len(vocabulary) + 1)  # one for all languages, however large their samples
         h = word_hashes(vocabulary)
         order = np.argsort(h)
-        self.hash, self.log_p, self.log_other = h[order], np.log((n[order] + prior) / mass), np.log(prior / mass)
+        self.hash, self.log_p, self.log_other = h[order], np.log((1 - unseen) * n[order] / np.maximum(n.sum(0), 1) + other), np.log(other)
 
     def best(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> list[str | None]:
         """The language of each of n documents, from their words' hashes and owners."""
