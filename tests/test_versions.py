@@ -11,6 +11,7 @@ def test_latest(spark):
 
 def test_heavy_groups_are_bounded(spark):
     counts = spark.createDataFrame([(f"k{i}", 10 + i) for i in range(100)], "k string, n bigint")
-    assert heavy_groups(counts, 1000) == ([], 1000)
-    big, threshold = heavy_groups(counts, 50, share=0.01)
-    assert threshold == 60 and min(r.n for r in big) == 60 and len(big) == 50
+    assert heavy_groups(counts, ["k"], 1000) is None
+    big = heavy_groups(counts, ["k"], 50).collect()
+    assert sorted(r.n for r in big) == list(range(50, 110)) and {r.parts for r in big} == {1, 2, 3}
+    assert sorted(r.n for r in heavy_groups(counts, ["k"], 50, most=7).collect()) == list(range(103, 110))
